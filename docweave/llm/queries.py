@@ -6,13 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, mixing, secrets
+from docweave.llm import bpe, mixing, secrets, toxicity
 from docweave.llm.common import documents
 from docweave.llm.exact_dedup import exact_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(documents(spark, sf_dir), labels)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("nearest_ids"),
+        "evidence",
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text."""
     out = bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -47,6 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
