@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, mixing, secrets, toxicity
+from docweave.llm import bpe, minhash, mixing, secrets, toxicity
 from docweave.llm.common import documents
 from docweave.llm.exact_dedup import exact_dedup
 
@@ -59,12 +59,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_components(documents(spark, sf_dir), percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL = {
