@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces that a Python worker remembers; beyond these it starts anew.
-MEMORY = 200_000
+#: Pieces in each of the two generations that a Python worker remembers; the older one goes when the younger is full.
+MEMORY = 400_000
 #: Pieces in one recursive query.
 AT_ONCE = 20_000
 
@@ -70,14 +70,16 @@ class Codec:
         if (self.of_byte < 0).any():
             raise ValueError("the rank file lacks single bytes")
         self.known: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.older: dict[str, str] = {}
+        #: Decoded bytes, of pieces whose ids do not decode to the piece itself.
+        self.other: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Adds the ids (decimal, comma-joined) and decoded bytes of new pieces."""
         raw = [p.encode() for p in pieces]
         for p, b in zip(pieces, raw):
             if b in self.ranks:  # a piece that is a token is encoded as that token
-                self.known[p], self.bytes[p] = str(self.ranks[b]), b
+                self.known[p] = str(self.ranks[b])
         pieces, raw = [p for p in pieces if p not in self.known], [b for b in raw if b not in self.ranks]
         if not raw:
             return
@@ -91,17 +93,26 @@ class Codec:
         self.db.unregister("pieces")
         for word, ids, text in got:
             self.known[pieces[word]] = ids
-            self.bytes[pieces[word]] = bytes.fromhex(text)
+            if (decoded := bytes.fromhex(text)) != raw[word]:
+                self.other[pieces[word]] = decoded
 
     def run(self, texts: list[str]) -> tuple[list[int], list[str], list[bytes]]:
         if len(self.known) > MEMORY:
-            self.known, self.bytes = {}, {}
+            self.known, self.older = {}, self.known
         split = [self.split(t) for t in texts]
-        new = list({p for ps in split for p in ps if p not in self.known})
-        for i in range(0, len(new), AT_ONCE):
-            self.learn(new[i : i + AT_ONCE])
+        new = {p for ps in split for p in ps if p not in self.known}
+        met = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in met)
+        rest = list(new - met)
+        for i in range(0, len(rest), AT_ONCE):
+            self.learn(rest[i : i + AT_ONCE])
         ids = [",".join(map(self.known.__getitem__, ps)) for ps in split]
-        return [x.count(",") + bool(x) for x in ids], ids, [b"".join(map(self.bytes.__getitem__, ps)) for ps in split]
+        return [x.count(",") + bool(x) for x in ids], ids, [self.decoded(ps) for ps in split]
+
+    def decoded(self, pieces: list[str]) -> bytes:
+        if self.other:
+            return b"".join(self.other.get(p, p.encode()) for p in pieces)
+        return "".join(pieces).encode()
 
 
 @lru_cache(maxsize=2)
