@@ -10,41 +10,42 @@ line, whether that one stays or not, is similar enough; so of equal lines the
 first stays.
 
 Rarity is the count of a word's hash bucket over all documents; any fixed
-order gives the same result, and the table of buckets has a fixed size.  In a
-list of a prefix word, all members are compared with the first few; only those
-that are not removed yet go on to the next ones, in blocks that grow, so a list
-of near copies makes few pairs and no match of a line that stays is missed.
-
-Lines end at \\n.  Blank lines have no words and stay.  A null text stays null;
-an empty one stays empty.  Rows of equal doc_id are told apart by their texts;
-of equal rows, only lines within a row and lines of other ids are compared.
+order gives the same result, and the table of buckets has a fixed size.  In the
+long list of a prefix word, all members are first compared with two of them;
+then only lines that still stay are compared with all earlier ones.  So a list
+of near copies makes few pairs, and no match of a line that stays is missed.
+
+Words are separated by white space and in lower case.  Lines end at \\n.  Blank
+lines have no words and stay.  A null text stays null, an empty one empty.  Rows
+of equal doc_id (null is one such id) share the line numbers that go: a line
+that has an earlier similar line in one of them goes from all of them.
 Columns other than doc_id and text pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import join_checked, materialize
 
 #: Hash buckets of the rarity table.
 BUCKETS = 1 << 16
-#: Members of a list that all others are compared with first; each next block is eight times as large.
-FIRST_BLOCK = 4
+#: Members of a list from which on it counts as long.
+LONG_LIST = 200
+#: Documents of which line numbers are broadcast, at most.
+MAX_BROADCAST = 200_000
 
 
-def tokens(line: Column) -> Column:
-    """The words of a line, A-Z lowered."""
-    plain = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    ")
-    return F.array_remove(F.split(plain, " "), "")
+def tokens(text: Column, breaks: str = "") -> Column:
+    """The words of a text in lower case, with an empty one for each space beside another."""
+    return F.split(F.lower(F.regexp_replace(text, rf"[\t\x0b\f\r{breaks}]", " ")), " ")
 
 
 def rarity(docs: DataFrame) -> list[int]:
     """For each hash bucket, 64 times the binary logarithm of its words' count over all documents."""
-    words = docs.select(F.explode(F.split(F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r\n", "abcdefghijklmnopqrstuvwxyz     "), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))).alias("b")).count()
+    words = docs.select(F.explode(tokens(F.col("text"), r"\n")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     table = [0] * BUCKETS
     for b, n in counts.select("b", F.floor(F.log2("count") * 64).cast("int")).collect():  # BUCKETS rows at most
         table[b] = int(n)
@@ -53,11 +54,11 @@ def rarity(docs: DataFrame) -> list[int]:
 
 def ranked(line: Column, table: list[int]) -> Column:
     """The line's distinct words as numbers, the rarest first: rarity in the high bits, a 51-bit hash below."""
-    levels = F.lit(table).cast("array<int>")
-    packed = F.transform(tokens(line), lambda w: F.xxhash64(w))
+    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to one literal
+    hashes = F.array_remove(F.array_distinct(F.transform(tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     return F.sort_array(
         F.transform(
-            F.array_distinct(packed),
+            hashes,
             lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 51).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1))),
         )
     )
@@ -70,52 +71,72 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, ln) of each line that has an earlier similar line."""
-    docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").filter("text IS NOT NULL")
+    docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     table = rarity(docs)
     n = F.size("words")
-    # To reach the threshold with n words of one's own takes an overlap of at least n * percent / 100.
-    reach = F.ceil(n * percent / 100).cast("int")
-    lines = lines_of(docs).withColumn("words", ranked(F.col("line"), table)).filter("size(words) > 0")
+    # Blank lines are left out only when the lines are read again: a filter here would rank all words twice.
+    lines = lines_of(docs).withColumn("words", ranked(F.col("line"), table))
     lines = lines.select(
         "doc_id",
         "ln",
         F.xxhash64("words").alias("f1"),
         F.xxhash64("words", F.lit(1)).alias("f2"),
         n.alias("n"),
-        F.transform(F.slice("words", F.lit(1), n - reach + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+        F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+        F.transform(F.slice("words", F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
-    lines = materialize(lines, "lines")
-    firsts = lines.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "ln", "n", "prefix")).alias("m"))
-    classes = materialize(firsts.select("m.*", "f1", "f2"), "line-classes")
-
-    # A set of under five words is similar to its equals only, or to sets of five words.
-    posted = classes.filter(n_can_differ(F.col("n"), percent)).select(F.struct("doc_id", "ln").alias("id"), "n", F.posexplode("prefix").alias("pos", "word"))
-    several = W.partitionBy("word")
-    lists = posted.withColumn("members", F.count("*").over(several)).filter("members > 1")
-    lists = lists.withColumn("place", F.row_number().over(several.orderBy("id"))).select("word", "id", "n", "pos", "place", "members")
-    lists = materialize(lists, "line-lists")
-    removed = None
-    low, high, most = 0, FIRST_BLOCK, lists.agg(F.max("members")).first()[0] or 0
-    words_of = materialize(candidates(docs, lists, table), "line-sets") if most else None
-    while low < most:
-        heads = lists.filter((F.col("place") > low) & (F.col("place") <= high)).select(F.col("word").alias("w"), F.col("id").alias("head"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("place").alias("hplace"))
-        rest = lists.filter(F.col("members") > low + 1)
-        if removed is not None:
-            rest = rest.join(removed.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left_anti")
-        small, large = F.least("n", "hn"), F.greatest("n", "hn")
-        # Up to this shared word at most one word is shared; after it, at most what either has left.
-        most_shared = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("hn") - F.col("hpos") - 1) + F.least("pos", "hpos")
-        pairs = rest.join(heads, (F.col("word") == F.col("w")) & (F.col("place") > F.col("hplace"))).filter((small * 100 >= large * percent) & (most_shared * (100 + percent) >= percent * (F.col("n") + F.col("hn"))))
-        found = verify(pairs.select("id", "head").distinct(), words_of, percent)
-        found = materialize(found.select("id").distinct(), "line-removed")
-        removed = found if removed is None else removed.unionByName(found)
-        low, high = high, high * 8
+    lines = materialize(lines, "lines").filter("n > 0")
+    classes = materialize(lines.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "ln", "n", "bits", "prefix")).alias("m")).select("m.*", "f1", "f2"), "line-classes")
+
+    posted = classes.filter(n_can_differ(F.col("n"), percent)).select(F.struct("doc_id", "ln").alias("id"), "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    early = by_heads(posted, docs, table, percent)
+    if early is not None:
+        posted = posted.join(early.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
+    else:
+        posted = posted.withColumn("open", F.lit(True))
+    # The smaller set of a pair shares a word within a prefix that is shorter still.
+    index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent))).select([F.col(c).alias(f"a_{c}") for c in posted.columns])
+    smaller = F.struct("a_n", "a_id") < F.struct("n", "id")
+    later_open = F.when(F.col("a_id") > F.col("id"), F.col("a_open")).otherwise(F.col("open"))
+    pairs = index.hint("shuffle_hash").join(posted, (F.col("a_word") == F.col("word")) & smaller & later_open & may_match(percent))
+    found = verify(pairs.select(F.greatest("id", "a_id").alias("id"), F.least("id", "a_id").alias("head")), docs, table, percent)
+    removed = found if early is None else found.unionByName(early)
     again = lines.select("doc_id", "ln", "f1", "f2").join(classes.select(F.col("doc_id").alias("d0"), F.col("ln").alias("l0"), "f1", "f2"), ["f1", "f2"])
-    out = again.filter("doc_id <> d0 OR ln <> l0")
-    if removed is None:
-        return out.select("doc_id", "ln")
-    gone = again.filter("doc_id = d0 AND ln = l0").select("doc_id", "ln").join(removed.select("id.*"), ["doc_id", "ln"], "left_semi")
-    return out.select("doc_id", "ln").unionByName(gone)
+    first = (F.col("doc_id").eqNullSafe(F.col("d0"))) & (F.col("ln") == F.col("l0"))
+    return again.filter(~first).select("doc_id", "ln").unionByName(removed.select("id.*").distinct())
+
+
+def part(n: Column, percent: float) -> Column:
+    """The least whole number that is at least ``percent`` per cent of n."""
+    return F.ceil(n * F.lit(percent / 100) - F.lit(1e-9)).cast("int")
+
+
+def may_match(percent: int) -> Column:
+    """Length, positional and bitmap filters of a pair; none of them loses a similar pair.
+
+    Each word of a set flips one of 64 bits, so sets differ in as many words as
+    their bits at least.
+    """
+    n, m = F.col("n"), F.col("a_n")
+    shared = 1 + F.least("pos", "a_pos") + F.least(n - F.col("pos"), m - F.col("a_pos")) - 1
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits")))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (shared * (100 + percent) >= percent * (n + m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+
+
+def by_heads(posted: DataFrame, docs: DataFrame, table: list[int], percent: int) -> DataFrame | None:
+    """(id) of lines that are similar to an earlier one of two fixed members of a long list; None without long lists.
+
+    Lists of near copies are mostly done with after this, in two rows a member.
+    """
+    words = materialize(posted.groupBy("word").agg(F.count("*").alias("members")).filter(F.col("members") > LONG_LIST).select("word"), "line-long-lists")
+    if words.isEmpty():
+        return None
+    row = F.struct("id", "n", "bits", "pos")
+    posted = posted.join(words, "word", "left_semi")
+    heads = posted.groupBy("word").agg(F.min(row).alias("h1"), F.min_by(row, F.struct(F.xxhash64("id"), "id")).alias("h2"))
+    long = materialize(heads.select(F.col("word").alias("a_word"), F.explode(F.array("h1", "h2")).alias("h")).select("a_word", *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bits", "pos")]), "line-heads")
+    pairs = posted.join(long, (F.col("a_word") == F.col("word")) & (F.col("a_id") < F.col("id")) & may_match(percent))
+    return verify(pairs.select("id", F.col("a_id").alias("head")), docs, table, percent)
 
 
 def n_can_differ(n: Column, percent: int) -> Column:
@@ -123,25 +144,25 @@ def n_can_differ(n: Column, percent: int) -> Column:
     return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
 
 
-def candidates(docs: DataFrame, lists: DataFrame, table: list[int]) -> DataFrame:
-    """(id, words) of the lines in lists, from the texts again."""
-    wanted = lists.select("id.*").distinct().groupBy("doc_id").agg(F.collect_list("ln").alias("wanted")).withColumnRenamed("doc_id", "_of")
-    rows = docs.join(wanted, F.col("doc_id") == F.col("_of")).select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return rows.filter(F.array_contains("wanted", F.col("ln"))).select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words"))
-
-
-def verify(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, table: list[int], percent: int) -> DataFrame:
+    """(id) of the later lines of pairs (id, head) that are similar on their full sets, which are made from the texts again."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    wanted = pairs.select("id").union(pairs.select("head")).distinct().select("id.*").groupBy("doc_id").agg(F.collect_set("ln").alias("wanted")).withColumnRenamed("doc_id", "_of")
+    rows = join_checked(docs, materialize(wanted, "line-wanted"), F.col("doc_id").eqNullSafe(F.col("_of")), "inner", MAX_BROADCAST)
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.array_sort("wanted"), lambda i: F.struct(i.alias("ln"), F.get(F.split("text", "\n"), i).alias("line"))))).select("doc_id", "col.*")
+    words_of = materialize(rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words")), "line-sets")
     a = words_of.select(F.col("id"), F.col("words").alias("wa"))
     b = words_of.select(F.col("id").alias("head"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    return pairs.join(a, "id").join(b, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id", "head")
+    found = pairs.join(a, "id").join(b, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id").distinct()
+    return materialize(found, "line-removed")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the lines that have an earlier similar line."""
     gone = similar_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone")).withColumnRenamed("doc_id", "_of")
     gone = materialize(gone, "lines-gone")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_of"), "left")
+    joined = join_checked(docs, gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left", MAX_BROADCAST)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
