@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, minhash, mixing, secrets, toxicity
+from docweave.llm import bpe, fingerprints, line_dedup, minhash, mixing, secrets, toxicity
 from docweave.llm.common import documents
 from docweave.llm.exact_dedup import exact_dedup
 
@@ -36,6 +36,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edited(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(F.col("sample")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sample"), F.col("edited")).alias("near_edited"),
+        fingerprints.likeness(F.col("sample"), F.col("next_sample")).alias("near_next"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
@@ -59,6 +72,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_components(documents(spark, sf_dir), percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -68,8 +85,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
+    "op8_line_dedup": op8_line_dedup,
     "op10_minhash": op10_minhash,
 }
 
