@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, fingerprints, line_dedup, minhash, mixing, secrets, toxicity
+from docweave.llm import bpe, fingerprints, line_dedup, lm_scoring, minhash, mixing, secrets, substring_dedup, toxicity
 from docweave.llm.common import documents
 from docweave.llm.exact_dedup import exact_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(documents(spark, sf_dir), labels)
@@ -76,12 +80,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(documents(spark, sf_dir))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_components(documents(spark, sf_dir), percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
@@ -89,6 +98,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash": op10_minhash,
 }
 
