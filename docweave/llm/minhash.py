@@ -8,7 +8,8 @@ at least ``matches`` coordinates collide.  As in prefix filtering and skip
 merging, postings that nobody shares are skipped, classes that share too few
 are left out, and of the m shared postings of a class only the m - matches + 1
 rarest are merged: a pair with enough collisions meets in one of these.
-Candidates are confirmed on their full sets.
+Candidates must also agree in enough of many more coordinates, of which two
+bits each are kept, and are then confirmed on their full sets.
 
 In a merged list, members are first compared with the list's smallest id
 only, over and over with one id a component, and last with all members of
@@ -33,10 +34,14 @@ from docweave.llm.components import components
 
 SHINGLE = 5
 COORDINATES = 64
+#: Coordinates of the finer sketches, two bits of each, with which candidates are sifted before their sets are compared.
+FINE = 1024
+#: Words of 32 such coordinates that are compared while lists are joined.
+FIRST = 16
 #: Ids of candidate classes up to this number are broadcast to fetch their texts.
 MAX_BROADCAST = 500_000
 #: Rounds of comparing with one id a component before all pairs of components are met.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -118,28 +123,59 @@ def postings(classes: DataFrame, coordinates: int) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "key bigint, id bigint")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """The candidate pairs (a, b) that collide often enough and whose full sets reach the threshold."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("signature").alias(f"sig_{side}"), F.col("shingles").alias(f"set_{side}"))
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The lowest two bits of FINE coordinates, packed into 64-bit words."""
+    bits = signature(shingles, FINE) & np.uint32(3)
+    place = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return np.bitwise_or.reduce(bits.reshape(-1, 32).astype(np.uint64) << place, axis=1)
+
+
+def fine_matches(percent: int, coordinates: int = FINE) -> int:
+    """Fine coordinates that must agree; others agree by chance once in four."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(coordinates * p - 5.2 * (coordinates * p * (1 - p)) ** 0.5)
+
+
+def _differ(x, y):
+    """How many of the 32 coordinates in two words differ."""
+    z = x.bitwiseXOR(y)
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def agree(percent: int):
+    """Whether sketches a_.. and b_.. agree in enough of their first words, and their sizes allow a match."""
+    total = F.lit(0)
+    for i in range(FIRST):
+        total = total + _differ(F.col(f"a_{i}"), F.col(f"b_{i}"))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return (small * 100 >= large * percent) & (total <= 32 * FIRST - fine_matches(percent, 32 * FIRST))
+
+
+def agree_all(percent: int):
+    differ = F.aggregate(F.zip_with("a_all", "b_all", lambda x, y: _differ(x, y)), F.lit(0), lambda s, x: s + x)
+    return differ <= FINE - fine_matches(percent)
+
+
+def sketch_columns(sets: DataFrame, side: str) -> DataFrame:
+    words = [F.get("sketch", F.lit(i)).alias(f"{side}_{i}") for i in range(FIRST)]
+    return sets.select(F.col("id").alias(side), F.size("shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_all"), *words)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    n, m = F.size("set_a"), F.size("set_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(a, "a").join(b, "b").filter(both * 100 >= (n + m - both) * percent).select("a", "b")
 
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, np.bool_)
-            columns = [batch.column(c) for c in ("sig_a", "sig_b", "set_a", "set_b")]
-            for i in range(batch.num_rows):
-                sa, sb = (np.frombuffer(c[i].as_buffer(), np.uint32) for c in columns[:2])
-                if (sa == sb).sum() >= matches:
-                    x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in columns[2:])
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.expr(f"least({x}, {y}) AS a"), F.expr(f"greatest({x}, {y}) AS b")).distinct()
+    return pairs.select(F.expr(f"least({x}, {y}) AS a"), F.expr(f"greatest({x}, {y}) AS b"))
 
 
 def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordinates: int = COORDINATES, shingled=shingle_sets) -> DataFrame:
@@ -159,9 +195,10 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordi
     def run(batches):
         for batch in batches:
             sets = list(shingled(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(s, coordinates).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "signature", "shingles"])
+            fine = [fine_sketch(s).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(fine, pa.int64()), lists_of([s.view(np.int64) for s in sets], pa.int64())], ["id", "sketch", "shingles"])
 
-    sets = materialize(fetched.mapInArrow(run, "id bigint, signature binary, shingles binary"), "minhash-sets")
+    sets = materialize(fetched.mapInArrow(run, "id bigint, sketch array<bigint>, shingles array<bigint>"), "minhash-sets")
 
     links = labels = None
     for step in range(STAR_ROUNDS + 1):
@@ -170,12 +207,18 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordi
         order = F.struct("c", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(step)), "c", "id")
         heads = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("head")).filter("low < high")
         if step < STAR_ROUNDS:
-            found = confirm(_ordered(lists.join(heads.select("key", "head"), "key").filter("c <> head.c"), "id", "head.id"), sets, percent, matches)
+            pairs = _ordered(lists.join(heads.select("key", "head"), "key").filter("c <> head.c"), "id", "head.id").distinct()
+            pairs = pairs.join(sketch_columns(sets, "a"), "a").join(sketch_columns(sets, "b"), "b").filter(agree(percent)).filter(agree_all(percent)).select("a", "b")
         else:
-            left = lists.join(heads.select("key"), "key", "left_semi")
-            other = left.selectExpr("key", "id AS other", "c AS co")
-            found = confirm(_ordered(left.join(other, "key").filter("c < co"), "id", "other"), sets, percent, matches)
-        found = materialize(found, "minhash-links")
+            left = lists.join(heads.select("key"), "key", "left_semi").select("key", "id", "c")
+            # Each pair is met in the first list that both have, once.
+            own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+            a = left.join(own, "id").join(sketch_columns(sets, "a"), F.col("id") == F.col("a"))
+            a = a.select("key", "a", F.col("c").alias("a_c"), F.col("keys").alias("a_keys"), *[f"a_{x}" for x in ("n", "all", *range(FIRST))])
+            b = a.withColumnsRenamed({c: "b" + c[1:] for c in a.columns if c != "key"}).withColumnRenamed("key", "b_key")
+            once = F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == F.col("key")
+            pairs = _ordered(a.join(b, (F.col("key") == F.col("b_key")) & (F.col("a_c") < F.col("b_c")) & agree(percent) & once).filter(agree_all(percent)), "a", "b")
+        found = materialize(confirm(materialize(pairs, "minhash-pairs"), sets, percent), "minhash-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = materialize(components(links), "minhash-components")
