@@ -126,16 +126,17 @@ def compare_edited(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame
     down, as many from the beginning of the next document, or all it has.
     Columns: doc_id, n_chars, edited_sha256, sample, edited, next_sample.
     """
-    keys = keyed(docs).groupBy(*KEY).agg(F.max(F.length("text")).cast("bigint").alias("n_chars"), F.count("*").alias("copies"))
+    keys = keyed(docs).groupBy(*KEY).agg(F.max("doc_id").alias("doc_id"), F.max(F.length("text")).cast("bigint").alias("n_chars"), F.count("*").alias("copies"))
     order = materialize(in_order(keys), "fingerprint-order")
-    texts = keyed(docs).groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # Both joins below read the same exchange of the texts.
+    texts = keyed(docs).select(*KEY, "text").dropDuplicates(KEY)
     wanted = order.select(F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.expr("CAST(n_chars div 4 AS INT)").alias("need"))
     begun = texts.select(*KEY, "text").join(wanted, KEY).select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.expr("substring(text, 1, need)").alias("begin"))
     cut = F.expr("substring(text, 1, CAST(length(text) - length(text) div 4 AS INT))")
-    both = texts.join(begun, KEY).select(*KEY, "doc_id", "text", F.concat(cut, F.col("begin")).alias("edited"))
-    facts = both.select(*KEY, "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    both = texts.join(begun, KEY).select(*KEY, "text", F.concat(cut, F.col("begin")).alias("edited"))
+    facts = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
     signed = signatures(both, ["text", "edited"], coordinates)
-    table = materialize(facts.join(signed, KEY, "left").join(order.select(*KEY, "n1", "n2", "copies"), KEY), "fingerprints")
+    table = materialize(facts.join(signed, KEY, "left").join(order, KEY), "fingerprints")
     following = table.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("text").alias("next_sample"))
     out = table.join(following, ["n1", "n2"]).withColumn("copy", F.explode(F.expr("sequence(1, CAST(copies AS INT))")))
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("text").alias("sample"), "edited", "next_sample")
