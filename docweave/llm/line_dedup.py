@@ -24,6 +24,8 @@ Columns other than doc_id and text pass through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +96,23 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         posted = posted.join(early.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
     else:
         posted = posted.withColumn("open", F.lit(True))
-    # The smaller set of a pair shares a word within a prefix that is shorter still.
-    index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent))).select([F.col(c).alias(f"a_{c}") for c in posted.columns])
+    # The smaller set of a pair shares a word within a prefix that is shorter still.  Its size falls into the
+    # larger one's class of sizes or the one below, so it is posted for its own class and the one above.
+    sizes = F.floor(F.ln("n") / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
+    posted = posted.withColumn("sizes", sizes)
+    index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent))).withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") + 1)))
+    index = index.select([F.col(c).alias(f"a_{c}") for c in posted.columns])
     smaller = F.struct("a_n", "a_id") < F.struct("n", "id")
     later_open = F.when(F.col("a_id") > F.col("id"), F.col("a_open")).otherwise(F.col("open"))
-    pairs = index.hint("shuffle_hash").join(posted, (F.col("a_word") == F.col("word")) & smaller & later_open & may_match(percent))
-    found = verify(pairs.select(F.greatest("id", "a_id").alias("id"), F.least("id", "a_id").alias("head")), docs, table, percent)
+    pairs = index.hint("shuffle_hash").join(posted, (F.col("a_word") == F.col("word")) & (F.col("a_sizes") == F.col("sizes")) & smaller & later_open & may_match(percent))
+    pairs = pairs.select(F.greatest("id", "a_id").alias("id"), F.least("id", "a_id").alias("head"), F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).alias("differ"))
+    pairs = materialize(pairs, "line-pairs")
+    # One similar line is enough: the likeliest one is tried first, and all others only where it is not.
+    likely = pairs.groupBy("id").agg(F.min(F.struct("differ", "head")).alias("h")).select("id", "h.head")
+    words_of = sets_of(pairs, docs, table)
+    found = verify(likely, words_of, percent)
+    rest = join_checked(pairs, found.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left_anti", MAX_BROADCAST)
+    found = found.unionByName(verify(rest.select("id", "head"), words_of, percent))
     removed = found if early is None else found.unionByName(early)
     again = lines.select("doc_id", "ln", "f1", "f2").join(classes.select(F.col("doc_id").alias("d0"), F.col("ln").alias("l0"), "f1", "f2"), ["f1", "f2"])
     first = (F.col("doc_id").eqNullSafe(F.col("d0"))) & (F.col("ln") == F.col("l0"))
@@ -136,7 +149,8 @@ def by_heads(posted: DataFrame, docs: DataFrame, table: list[int], percent: int)
     heads = posted.groupBy("word").agg(F.min(row).alias("h1"), F.min_by(row, F.struct(F.xxhash64("id"), "id")).alias("h2"))
     long = materialize(heads.select(F.col("word").alias("a_word"), F.explode(F.array("h1", "h2")).alias("h")).select("a_word", *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bits", "pos")]), "line-heads")
     pairs = posted.join(long, (F.col("a_word") == F.col("word")) & (F.col("a_id") < F.col("id")) & may_match(percent))
-    return verify(pairs.select("id", F.col("a_id").alias("head")), docs, table, percent)
+    pairs = materialize(pairs.select("id", F.col("a_id").alias("head")), "line-head-pairs")
+    return verify(pairs, sets_of(pairs, docs, table), percent)
 
 
 def n_can_differ(n: Column, percent: int) -> Column:
@@ -144,17 +158,20 @@ def n_can_differ(n: Column, percent: int) -> Column:
     return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, table: list[int], percent: int) -> DataFrame:
-    """(id) of the later lines of pairs (id, head) that are similar on their full sets, which are made from the texts again."""
-    pairs = materialize(pairs.distinct(), "line-pairs")
+def sets_of(pairs: DataFrame, docs: DataFrame, table: list[int]) -> DataFrame:
+    """(id, words) of all lines in pairs (id, head), from the texts again."""
     wanted = pairs.select("id").union(pairs.select("head")).distinct().select("id.*").groupBy("doc_id").agg(F.collect_set("ln").alias("wanted")).withColumnRenamed("doc_id", "_of")
     rows = join_checked(docs, materialize(wanted, "line-wanted"), F.col("doc_id").eqNullSafe(F.col("_of")), "inner", MAX_BROADCAST)
     rows = rows.select("doc_id", F.posexplode(F.transform(F.array_sort("wanted"), lambda i: F.struct(i.alias("ln"), F.get(F.split("text", "\n"), i).alias("line"))))).select("doc_id", "col.*")
-    words_of = materialize(rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words")), "line-sets")
+    return materialize(rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words")), "line-sets")
+
+
+def verify(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
+    """(id) of the later lines of pairs (id, head) that are similar on their full sets."""
     a = words_of.select(F.col("id"), F.col("words").alias("wa"))
     b = words_of.select(F.col("id").alias("head"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    found = pairs.join(a, "id").join(b, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id").distinct()
+    found = pairs.distinct().join(a, "id").join(b, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id").distinct()
     return materialize(found, "line-removed")
 
 
