@@ -131,7 +131,7 @@ class Packer:
         return [p for d in (self.merge(drafts) if merge_peers else drafts) for p in self.split(d)]
 
 
-PACKED = "doc_id bigint, part bigint, kind string, headings array<string>, body string, caption string, refs array<string>, token_count bigint"
+PACKED = "part bigint, kind string, headings array<string>, body string, caption string, refs array<string>, token_count bigint"
 
 
 def pack(drafts: DataFrame, limit: int = 512, merge_peers: bool = True, count: Callable[[str], int] = count_tokens) -> DataFrame:
@@ -147,7 +147,8 @@ def pack(drafts: DataFrame, limit: int = 512, merge_peers: bool = True, count: C
         out["token_count"] = [packer.count("\n".join([*p["headings"], p["body"]])) for p in packed]
         return out
 
-    return drafts.select("doc_id", "ord", "kind", "headings", "body", "caption", "refs").groupBy("doc_id").applyInPandas(run, PACKED)
+    schema = f"doc_id {drafts.schema['doc_id'].dataType.simpleString()}, {PACKED}"
+    return drafts.select("doc_id", "ord", "kind", "headings", "body", "caption", "refs").groupBy("doc_id").applyInPandas(run, schema)
 
 
 def chunk_ids(chunks: DataFrame, sha: str = "sha256", order: str = "part") -> DataFrame:

@@ -210,3 +210,37 @@ def redact_settings(spark, sf_dir):
     from docweave.plans.settings import redact
 
     return redact(spark.createDataFrame([("api_key", "abc"), ("url", ""), ("token", "x")], "key string, value string"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """An extension: tumbling windows of event time, as in the stream."""
+    from docweave.streaming.ingest import event_counts
+
+    return event_counts(table(spark, sf_dir, "events"))
+
+
+FORMAT_SQL = """CASE page_id % 6 WHEN 0 THEN 'text/html' WHEN 1 THEN '.PDF' WHEN 2 THEN 'md' ELSE '' END"""
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {FORMAT_SQL} AS stated, CASE WHEN page_id % 2 = 0 THEN 'a/b.htm' ELSE url END AS name FROM pages)
+    SELECT page_id, CASE WHEN stated = 'text/html' THEN 'html' WHEN stated = '.PDF' THEN 'pdf' WHEN stated = 'md' THEN 'md'
+      ELSE CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'htm' THEN 'html' WHEN 'html' THEN 'html' WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'md' END END AS format FROM p"""
+)
+def document_formats(spark, sf_dir):
+    from docweave.sources.documents import document_format
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr(FORMAT_SQL).alias("stated"), F.when(F.col("page_id") % 2 == 0, "a/b.htm").otherwise(F.col("url")).alias("name"))
+    return p.select("page_id", document_format(F.col("stated"), F.col("name")).alias("format"))
+
+
+@query()
+def html_items(spark, sf_dir):
+    """Items of pages by the HTML parser, cleaned and chunked by the whole plan."""
+    from docweave.plans.process import process
+    from docweave.sources.documents import items
+
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"))
+    out = process(items(p))
+    return out["chunks"].select("doc_id", "chunk_id", "kind", F.array_join("headings", " > ").alias("headings"), F.length("body").alias("chars"), "token_count")
