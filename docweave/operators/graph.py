@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.text import norm_key, squeeze, fold
+from docweave.functions.text import fold, norm_key, squeeze
+from docweave.operators.joins import broadcast_if_small
 
 #: Characters of a quote that must be there at least, and that are tried alone when the whole is not found.
 MIN_QUOTE, QUOTE_PREFIX = 12, 60
@@ -157,7 +158,7 @@ def ground_anywhere(quotes: DataFrame, texts: DataFrame, words: int = 6) -> Data
     full = F.slice("grams", 1, F.size("inner") - words + 1)
     probes = grams(q.filter("size(inner) > 0"), "inner").select("quote_id", "q", F.explode(F.when(F.size("inner") >= words, full).otherwise(F.col("inner"))).alias("g"))
     body = quote_key(F.col("text"))
-    posted = grams(texts.select("doc_id", F.split(body, " ").alias("ws")), "ws").select("doc_id", F.explode(F.array_distinct(F.concat("grams", "ws"))).alias("g")).join(probes.select("g").distinct(), "g", "left_semi")
+    posted = grams(texts.select("doc_id", F.split(body, " ").alias("ws")), "ws").select("doc_id", F.explode(F.array_distinct(F.concat("grams", "ws"))).alias("g")).join(broadcast_if_small(probes.select("g").distinct()), "g", "left_semi")
     rare = probes.join(posted.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("quote_id", "q").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
     pairs = rare.join(posted, "g").select("quote_id", "q", "doc_id")
     whole = texts.select(F.col("doc_id").alias("_doc"), body.alias("body"))

@@ -51,7 +51,7 @@ LENGTH_SQL = "SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION B
 def rrf_fusion(spark, sf_dir):
     """BM25 ranks fused with ranks by length."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 40).alias("query_id")).filter("query_id % 4 = 0")
-    d = d.join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))), "query_id")
+    d = d.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
     return retrieve.fuse([bm25(spark, sf_dir), retrieve.top_k(d, "query_id", "n_chars", "doc_id", 10)])
 
 
