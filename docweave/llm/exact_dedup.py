@@ -19,7 +19,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize, shared_dir
+from docweave.llm.common import join_checked, materialize, shared_dir
+
+#: A digest with more than one row in so many is heavy.
+HEAVY = 200
+#: Digests of groups up to this number are broadcast to fetch their texts.
+MAX_BROADCAST = 500_000
 
 
 class DigestIndex:
@@ -65,22 +70,21 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", path: str | None = None
     index.flush(digested)
     entries = materialize(index.compact(), "lsm-level")
 
+    # Fewer than HEAVY digests can have more than one row in HEAVY, so these are broadcast and their rows stay
+    # where they are; no task gets all rows of a large group.
+    total = entries.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(materialize(entries.filter(F.col("n") * HEAVY > total).filter("n > 1"), "lsm-heavy"))
+    hits = entries.filter("n > 1").join(heavy, "digest", "left_anti").select("digest")
+
     # Grouping hits by their very bytes verifies them; equal texts meet on the map side first.
-    hits = entries.filter("n > 1").select("digest")
-    classes = (
-        digested.join(hits, "digest", "left_semi")
-        .groupBy("digest", "text")
-        .agg(index.keep("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    )
-    classes = materialize(classes, "lsm-verified")
-    mixed = classes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
-    several = not mixed.isEmpty()
-
-    found = index.runs().join(entries, "digest")
-    if several:  # one digest, several texts: these rows are told apart by their bytes
-        found = found.join(mixed, "digest", "left_anti").unionByName(
-            digested.join(F.broadcast(mixed), "digest", "left_semi").join(classes, ["digest", "text"]).select("digest", "doc_id", "keep_id", "n")
-        )
+    met = digested.join(heavy, "digest", "left_semi").unionByName(join_checked(digested.join(heavy, "digest", "left_anti"), hits, "digest", "left_semi", MAX_BROADCAST))
+    classes = materialize(met.groupBy("digest", "text").agg(index.keep("doc_id").alias("keep_id"), F.count("*").alias("n")), "lsm-verified")
+    mixed = materialize(classes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "lsm-mixed")
+
+    found = index.runs().join(heavy, "digest").unionByName(index.runs().join(heavy, "digest", "left_anti").join(entries, "digest"))
+    if not mixed.isEmpty():  # one digest, several texts: these rows are told apart by their bytes
+        apart = join_checked(digested, mixed, "digest", "left_semi", MAX_BROADCAST).join(classes, ["digest", "text"])
+        found = found.join(mixed, "digest", "left_anti").unionByName(apart.select("digest", "doc_id", "keep_id", "n"))
     return found.select(
         "doc_id",
         "keep_id",
