@@ -29,12 +29,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import join_checked, materialize
+from docweave.llm.common import discard, join_checked, materialize, scratch
 
 #: Hash buckets of the rarity table.
 BUCKETS = 1 << 16
 #: Members of a list from which on it counts as long.
 LONG_LIST = 200
+#: Words of 64 bits in the wider bitmaps, a power of two.
+SIFT = 4
 #: Documents of which line numbers are broadcast, at most.
 MAX_BROADCAST = 200_000
 
@@ -71,8 +73,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
-def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, ln) of each line that has an earlier similar line."""
+def similar_lines(docs: DataFrame, percent: int = 80, folder: str | None = None) -> DataFrame:
+    """(doc_id, ln) of each line that has an earlier similar line.  ``folder`` holds the tables made on the way."""
+    folder = folder or scratch("lines")
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     table = rarity(docs)
     n = F.size("words")
@@ -87,32 +90,51 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
         F.transform(F.slice("words", F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
-    lines = materialize(lines, "lines").filter("n > 0")
-    classes = materialize(lines.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "ln", "n", "bits", "prefix")).alias("m")).select("m.*", "f1", "f2"), "line-classes")
+    lines = materialize(lines, f"{folder}/lines").filter("n > 0")
+    classes = materialize(lines.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "ln", "n", "bits", "prefix")).alias("m")).select("m.*", "f1", "f2"), f"{folder}/classes")
 
-    posted = classes.filter(n_can_differ(F.col("n"), percent)).select(F.struct("doc_id", "ln").alias("id"), "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    early = by_heads(posted, docs, table, percent)
+    differing = classes.filter(n_can_differ(F.col("n"), percent))
+
+    def posting(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select("doc_id", "ln", "n", "bits", *columns, F.posexplode("prefix").alias("pos", "word"))
+
+    early = by_heads(posting(differing), docs, table, percent, folder)
     if early is not None:
-        posted = posted.join(early.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
+        gone = early.select(F.col("id.doc_id").alias("_d"), F.col("id.ln").alias("_l"))
+        differing = join_checked(differing, gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ln") == F.col("_l")), "left", MAX_BROADCAST)
+        differing = differing.withColumn("open", F.col("_l").isNull().cast("int"))
     else:
-        posted = posted.withColumn("open", F.lit(True))
+        differing = differing.withColumn("open", F.lit(1))
+    posted = posting(differing, "open")
     # The smaller set of a pair shares a word within a prefix that is shorter still.  Its size falls into the
-    # larger one's class of sizes or the one below, so it is posted for its own class and the one above.
-    sizes = F.floor(F.ln("n") / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
-    posted = posted.withColumn("sizes", sizes)
-    index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent))).withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") + 1)))
-    index = index.select([F.col(c).alias(f"a_{c}") for c in posted.columns])
-    smaller = F.struct("a_n", "a_id") < F.struct("n", "id")
-    later_open = F.when(F.col("a_id") > F.col("id"), F.col("a_open")).otherwise(F.col("open"))
-    pairs = index.hint("shuffle_hash").join(posted, (F.col("a_word") == F.col("word")) & (F.col("a_sizes") == F.col("sizes")) & smaller & later_open & may_match(percent))
-    pairs = pairs.select(F.greatest("id", "a_id").alias("id"), F.least("id", "a_id").alias("head"), F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).alias("differ"))
-    pairs = materialize(pairs, "line-pairs")
+    # larger one's class of sizes or, near the class's top, the one below, so it is posted for both there.
+    step = F.lit(3 * math.log(100 / percent))
+    own = F.floor(F.ln("n") / step + F.lit(1e-9))
+    above = F.floor((F.ln("n") + math.log(100 / percent)) / step + F.lit(1e-6))
+    packed = [
+        F.shiftleft(F.col("sizes").cast("bigint"), 32).bitwiseOR(F.col("word").cast("bigint")).alias("at"),
+        F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("open").cast("bigint")).alias("facts"),
+        "bits", "doc_id", "ln",
+    ]
+    index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent)))
+    index = index.withColumn("sizes", F.explode(F.array_distinct(F.array(own, above)))).select(*packed)
+    index = index.select([F.col(c).alias(f"a_{c}") for c in index.columns])
+    probe = posted.withColumn("sizes", own).select(*packed)
+    n, pos, open_ = unpacked("facts")
+    a_n, a_pos, a_open = unpacked("a_facts")
+    ids, a_ids = F.struct("doc_id", "ln"), F.struct("a_doc_id", "a_ln")
+    smaller = (a_n < n) | ((a_n == n) & (a_ids < ids))
+    later_open = F.when(a_ids > ids, a_open).otherwise(open_) == 1
+    pairs = index.hint("shuffle_hash").join(probe, (F.col("a_at") == F.col("at")) & may_match(percent, n, a_n, pos, a_pos) & smaller & later_open)
+    x, y = F.struct(F.col("doc_id").alias("doc_id"), F.col("ln").alias("ln")), F.struct(F.col("a_doc_id").alias("doc_id"), F.col("a_ln").alias("ln"))
+    pairs = pairs.select(F.greatest(x, y).alias("id"), F.least(x, y).alias("head"), F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).alias("differ"))
+    pairs = materialize(pairs, f"{folder}/pairs")
     # One similar line is enough: the likeliest one is tried first, and all others only where it is not.
     likely = pairs.groupBy("id").agg(F.min(F.struct("differ", "head")).alias("h")).select("id", "h.head")
-    words_of = sets_of(pairs, docs, table)
-    found = verify(likely, words_of, percent)
+    words_of = sets_of(pairs, docs, table, folder)
+    found = verify(likely, words_of, percent, f"{folder}/found-1")
     rest = join_checked(pairs, found.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left_anti", MAX_BROADCAST)
-    found = found.unionByName(verify(rest.select("id", "head"), words_of, percent))
+    found = found.unionByName(verify(rest.select("id", "head"), words_of, percent, f"{folder}/found-2"))
     removed = found if early is None else found.unionByName(early)
     again = lines.select("doc_id", "ln", "f1", "f2").join(classes.select(F.col("doc_id").alias("d0"), F.col("ln").alias("l0"), "f1", "f2"), ["f1", "f2"])
     first = (F.col("doc_id").eqNullSafe(F.col("d0"))) & (F.col("ln") == F.col("l0"))
@@ -124,61 +146,85 @@ def part(n: Column, percent: float) -> Column:
     return F.ceil(n * F.lit(percent / 100) - F.lit(1e-9)).cast("int")
 
 
-def may_match(percent: int) -> Column:
-    """Length, positional and bitmap filters of a pair; none of them loses a similar pair.
+def n_can_differ(n: Column, percent: int) -> Column:
+    """Whether sets of n words can be similar to other sets: one word more or less must be allowed."""
+    return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
+
+
+def unpacked(facts: str) -> tuple[Column, Column, Column]:
+    f = F.col(facts)
+    return F.shiftright(f, 32).cast("int"), F.shiftright(f, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), f.bitwiseAND(F.lit(1))
+
+
+def may_match(percent: int, n: Column, m: Column, pos: Column, a_pos: Column) -> Column:
+    """Bitmap, length and positional filters of a pair; none of them loses a similar pair.
 
     Each word of a set flips one of 64 bits, so sets differ in as many words as
     their bits at least.
     """
-    n, m = F.col("n"), F.col("a_n")
-    shared = 1 + F.least("pos", "a_pos") + F.least(n - F.col("pos"), m - F.col("a_pos")) - 1
+    shared = F.least(pos, a_pos) + F.least(n - pos, m - a_pos)
     differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (shared * (100 + percent) >= percent * (n + m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+    return (differ * (100 + percent) <= (100 - percent) * (n + m)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (shared * (100 + percent) >= percent * (n + m))
 
 
-def by_heads(posted: DataFrame, docs: DataFrame, table: list[int], percent: int) -> DataFrame | None:
+def by_heads(posted: DataFrame, docs: DataFrame, table: list[int], percent: int, folder: str) -> DataFrame | None:
     """(id) of lines that are similar to an earlier one of two fixed members of a long list; None without long lists.
 
     Lists of near copies are mostly done with after this, in two rows a member.
     """
-    words = materialize(posted.groupBy("word").agg(F.count("*").alias("members")).filter(F.col("members") > LONG_LIST).select("word"), "line-long-lists")
+    words = materialize(posted.groupBy("word").agg(F.count("*").alias("members")).filter(F.col("members") > LONG_LIST).select("word"), f"{folder}/long-lists")
     if words.isEmpty():
         return None
+    posted = posted.join(words, "word", "left_semi").withColumn("id", F.struct("doc_id", "ln"))
     row = F.struct("id", "n", "bits", "pos")
-    posted = posted.join(words, "word", "left_semi")
     heads = posted.groupBy("word").agg(F.min(row).alias("h1"), F.min_by(row, F.struct(F.xxhash64("id"), "id")).alias("h2"))
-    long = materialize(heads.select(F.col("word").alias("a_word"), F.explode(F.array("h1", "h2")).alias("h")).select("a_word", *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bits", "pos")]), "line-heads")
-    pairs = posted.join(long, (F.col("a_word") == F.col("word")) & (F.col("a_id") < F.col("id")) & may_match(percent))
-    pairs = materialize(pairs.select("id", F.col("a_id").alias("head")), "line-head-pairs")
-    return verify(pairs, sets_of(pairs, docs, table), percent)
+    heads = materialize(heads.select(F.col("word").alias("a_word"), F.explode(F.array("h1", "h2")).alias("h")).select("a_word", *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bits", "pos")]), f"{folder}/heads")
+    matched = may_match(percent, F.col("n"), F.col("a_n"), F.col("pos"), F.col("a_pos"))
+    pairs = posted.join(heads, (F.col("a_word") == F.col("word")) & (F.col("a_id") < F.col("id")) & matched).select("id", F.col("a_id").alias("head"))
+    pairs = materialize(pairs, f"{folder}/head-pairs")
+    return verify(pairs, sets_of(pairs, docs, table, f"{folder}/heads-of"), percent, f"{folder}/found-0")
 
 
-def n_can_differ(n: Column, percent: int) -> Column:
-    """Whether sets of n words can be similar to other sets: one word more or less must be allowed."""
-    return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
-
-
-def sets_of(pairs: DataFrame, docs: DataFrame, table: list[int]) -> DataFrame:
+def sets_of(pairs: DataFrame, docs: DataFrame, table: list[int], folder: str) -> DataFrame:
     """(id, words) of all lines in pairs (id, head), from the texts again."""
     wanted = pairs.select("id").union(pairs.select("head")).distinct().select("id.*").groupBy("doc_id").agg(F.collect_set("ln").alias("wanted")).withColumnRenamed("doc_id", "_of")
-    rows = join_checked(docs, materialize(wanted, "line-wanted"), F.col("doc_id").eqNullSafe(F.col("_of")), "inner", MAX_BROADCAST)
-    rows = rows.select("doc_id", F.posexplode(F.transform(F.array_sort("wanted"), lambda i: F.struct(i.alias("ln"), F.get(F.split("text", "\n"), i).alias("line"))))).select("doc_id", "col.*")
-    return materialize(rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words")), "line-sets")
+    rows = join_checked(docs, materialize(wanted, f"{folder}/wanted"), F.col("doc_id").eqNullSafe(F.col("_of")), "inner", MAX_BROADCAST)
+    rows = rows.select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.array_contains("wanted", F.col("ln")))
+    words = rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words"))
+    return materialize(words.select("id", "words", F.size("words").alias("n"), *[flips("words", k).alias(f"b{k}") for k in range(SIFT)]), f"{folder}/sets")
 
 
-def verify(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
-    """(id) of the later lines of pairs (id, head) that are similar on their full sets."""
-    a = words_of.select(F.col("id"), F.col("words").alias("wa"))
-    b = words_of.select(F.col("id").alias("head"), F.col("words").alias("wb"))
+def flips(words: str, k: int) -> Column:
+    """The k-th 64 of the 64 * SIFT bits that the words flip."""
+    own = F.filter(words, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SIFT - 1)) == k)
+    return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def verify(pairs: DataFrame, words_of: DataFrame, percent: int, name: str) -> DataFrame:
+    """(id) of the later lines of pairs (id, head) that are similar on their full sets.
+
+    Wider bitmaps leave few pairs for which the sets themselves have to move.
+    """
+    facts = ["n", *[f"b{k}" for k in range(SIFT)]]
+    a = words_of.select("id", *[F.col(c).alias(f"a_{c}") for c in facts])
+    b = words_of.select(F.col("id").alias("head"), *facts)
+    differ = F.lit(0)
+    for k in range(SIFT):
+        differ = differ + F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b{k}")))
+    sifted = pairs.distinct().join(a, "id").join(b, "head").filter(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("a_n"))).select("id", "head")
+    wa = words_of.select("id", F.col("words").alias("wa"))
+    wb = words_of.select(F.col("id").alias("head"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    found = pairs.distinct().join(a, "id").join(b, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id").distinct()
-    return materialize(found, "line-removed")
+    found = sifted.join(wa, "id").join(wb, "head").filter(both * (100 + percent) >= percent * (F.size("wa") + F.size("wb"))).select("id").distinct()
+    return materialize(found, name)
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the lines that have an earlier similar line."""
-    gone = similar_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone")).withColumnRenamed("doc_id", "_of")
+    folder = scratch("lines")
+    gone = similar_lines(docs, percent, folder).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone")).withColumnRenamed("doc_id", "_of")
     gone = materialize(gone, "lines-gone")
+    discard(docs.sparkSession, folder)
     joined = join_checked(docs, gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left", MAX_BROADCAST)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
