@@ -49,7 +49,7 @@ FROM step JOIN fixpoint USING (word, round) JOIN vocab USING (token) GROUP BY wo
 class Codec:
     """Encodes and decodes with one rank file; lives as long as its Python worker."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memory: int | None = None):
         import duckdb
         import regex
 
@@ -69,6 +69,7 @@ class Codec:
         self.of_byte = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("the rank file lacks single bytes")
+        self.memory = memory or MEMORY
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         #: Decoded bytes, of pieces whose ids do not decode to the piece itself.
@@ -97,7 +98,7 @@ class Codec:
                 self.other[pieces[word]] = decoded
 
     def run(self, texts: list[str]) -> tuple[list[int], list[str], list[bytes]]:
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known, self.older = {}, self.known
         split = [self.split(t) for t in texts]
         new = {p for ps in split for p in ps if p not in self.known}
@@ -116,8 +117,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, memory: int | None = None) -> Codec:
+    return Codec(path, pattern, memory)
 
 
 def rounds(texts: list[str]):
@@ -132,14 +133,18 @@ def rounds(texts: list[str]):
         yield texts[at:], at
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row for each document: doc_id, n_tokens, ids (decimal, comma-joined), decoded (the ids' bytes)."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, memory: int | None = None) -> DataFrame:
+    """One row for each document: doc_id, n_tokens, ids (decimal, comma-joined), decoded (the ids' bytes).
+
+    ``memory`` is the number of pieces that a worker remembers in a generation;
+    fewer take less memory and more time, and the result is the same.
+    """
 
     def run(batches):
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for some, at in rounds(texts):
-                n, ids, decoded = codec(path, pattern).run(some)
+                n, ids, decoded = codec(path, pattern, memory).run(some)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(some)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
