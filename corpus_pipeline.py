@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    tokens = bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, memory=100_000)
     return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
