@@ -307,6 +307,20 @@ def test_substring_dedup(spark, docs, rows):
         assert min(len(a), len(b)) >= 50 and r.identity >= 0.8 and len(set(a) & set(b)) >= 0.6 * len(set(a))
 
 
+def test_substring_partners_in_parts(spark):
+    """Halves of a passage in earlier documents, too short to be passages, do not hide its whole."""
+    rng = random.Random(7)
+    texts, want = [], set()
+    for n in (60, 80, 90):
+        for _ in range(15):
+            passage = words(n, rng, 20_000)
+            for part in (passage[: n // 2], passage[n // 2 :], passage, passage):
+                texts.append(" ".join(words(40, rng, 20_000) + part + words(40, rng, 20_000)))
+            want.add(len(texts) - 1)
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {(d, d - 1) for d in want} <= got
+
+
 def test_chains_follow_the_order():
     matches = [(0, 100), (10, 110), (20, 50), (30, 130), (40, 141)]
     best = substring_dedup.chains(matches)[0]
