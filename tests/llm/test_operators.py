@@ -321,6 +321,23 @@ def test_substring_partners_in_parts(spark):
     assert {(d, d - 1) for d in want} <= got
 
 
+def test_substring_fuzzy_recall(spark):
+    """Passages with words exchanged at random, at identities down to 0.8."""
+    rng = random.Random(8)
+    texts, want = [], set()
+    for n in (60, 100, 200):
+        for percent in (5, 10, 15, 20):
+            for _ in range(10):
+                passage = words(n, rng, 20_000)
+                copy = list(passage)
+                for i in rng.sample(range(n), n * percent // 100):
+                    copy[i] = f"other{i}"
+                texts += [" ".join(words(40, rng, 20_000) + p + words(40, rng, 20_000)) for p in (passage, copy)]
+                want.add(len(texts) - 1)
+    got = {r.doc_id for r in substring_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_chains_follow_the_order():
     matches = [(0, 100), (10, 110), (20, 50), (30, 130), (40, 141)]
     best = substring_dedup.chains(matches)[0]
