@@ -3,8 +3,10 @@
 A text is split by a pattern.  Each distinct piece that a task has not met yet
 becomes rows (word, position, token), one for each byte.  A recursive query
 joins neighbouring tokens to the merge table and contracts in each word the
-leftmost pair of the least rank, until no pair is left.  Decoding joins tokens
-to their bytes and aggregates these in order.
+leftmost pair of the least rank, until no pair is left.  It keeps all rounds, so
+pieces are batched by the rows that they can come to, and those of over LONG
+bytes are contracted in the same order by a heap.  Decoding joins tokens to
+their bytes and aggregates these in order.
 
 Null text counts as empty: no tokens.  Equal rows give equal results, texts of
 any length are encoded whole, and only doc_id and text are read.
@@ -13,6 +15,7 @@ any length are encoded whole, and only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +26,9 @@ from pyspark.sql import DataFrame
 MEMORY = 400_000
 #: Pieces in one recursive query.
 AT_ONCE = 20_000
+#: Rows that the rounds of one recursive query come to at most, and the longest piece in it, in bytes.
+ROWS = 4_000_000
+LONG = 1_000
 
 #: Characters of text in one round of splitting.
 ROUND = 1 << 20
@@ -81,7 +87,38 @@ class Codec:
         for p, b in zip(pieces, raw):
             if b in self.ranks:  # a piece that is a token is encoded as that token
                 self.known[p] = str(self.ranks[b])
-        pieces, raw = [p for p in pieces if p not in self.known], [b for b in raw if b not in self.ranks]
+            elif len(b) > LONG:
+                self.known[p] = ",".join(map(str, self.contract(b)))
+        pieces, raw = [p for p in pieces if p not in self.known], [b for p, b in zip(pieces, raw) if p not in self.known]
+        at = rows = 0
+        for i, b in enumerate(raw):
+            rows += len(b) * (len(b) + 1) // 2
+            if rows > ROWS:
+                self.recurse(pieces[at:i], raw[at:i])
+                at, rows = i, len(b) * (len(b) + 1) // 2
+        self.recurse(pieces[at:], raw[at:])
+
+    def contract(self, raw: bytes) -> list[int]:
+        """The tokens of a long piece: the leftmost pair of the least rank is merged until none is left."""
+        n = len(raw)
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := self.ranks.get(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, middle, end = heapq.heappop(heap)
+            if ends[i] != middle or ends[middle] != end:  # one of the two has been merged since
+                continue
+            ends[i], ends[middle], before[end] = end, -1, i
+            for a, b in ((before[i], i), (i, end)):
+                if a >= 0 and b < n and (r := self.ranks.get(raw[a : ends[b]])) is not None:
+                    heapq.heappush(heap, (r, a, b, ends[b]))
+        at, out = 0, []
+        while at < n:
+            out.append(self.ranks[raw[at : ends[at]]])
+            at = ends[at]
+        return out
+
+    def recurse(self, pieces: list[str], raw: list[bytes]) -> None:
         if not raw:
             return
         lengths = np.array([len(b) for b in raw])

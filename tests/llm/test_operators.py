@@ -170,6 +170,22 @@ def test_bpe_memory_runs_over(monkeypatch):
         assert decoded == [b"alpha beta gammadelta", b"zzqqxx epsilon"] and n == [len(i.split(",")) for i in ids]
 
 
+def test_bpe_long_pieces():
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlu日本語") for _ in range(n))
+    texts = [letters(100_000), "=" * 100_000, " " * 30_000 + "x", *(letters(n) for n in (990, 999, 1000, 1001, 4000)), " ".join(letters(300) for _ in range(200))]
+    n, ids, decoded = bpe.Codec(path, pattern).run(texts)
+    want = [encoding.encode_ordinary(t) for t in texts]
+    assert n == [len(w) for w in want] and ids == [",".join(map(str, w)) for w in want]
+    assert [d.decode() for d in decoded] == texts
+
+
 def water(sizes, weights, epochs=3):
     total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
     while open_:
