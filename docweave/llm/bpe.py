@@ -5,8 +5,8 @@ becomes rows (word, position, token), one for each byte.  A recursive query
 joins neighbouring tokens to the merge table and contracts in each word the
 leftmost pair of the least rank, until no pair is left.  It keeps all rounds, so
 pieces are batched by the rows that they can come to, and those of over LONG
-bytes are contracted in the same order by a heap.  Decoding joins tokens to
-their bytes and aggregates these in order.
+bytes are contracted in the same order by a heap.  Decoding looks the bytes up
+of the very ids that a text's row returns, in their order.
 
 Null text counts as empty: no tokens.  Equal rows give equal results, texts of
 any length are encoded whole, and only doc_id and text are read.
@@ -78,11 +78,11 @@ class Codec:
         self.memory = memory or MEMORY
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: Decoded bytes, of pieces whose ids do not decode to the piece itself.
-        self.other: dict[str, bytes] = {}
+        #: The bytes of each id, by its decimal form.
+        self.bytes_of = {str(t): b for b, t in tokens}
 
     def learn(self, pieces: list[str]) -> None:
-        """Adds the ids (decimal, comma-joined) and decoded bytes of new pieces."""
+        """Adds the ids (decimal, comma-joined) of new pieces."""
         raw = [p.encode() for p in pieces]
         for p, b in zip(pieces, raw):
             if b in self.ranks:  # a piece that is a token is encoded as that token
@@ -129,10 +129,8 @@ class Codec:
         self.db.register("pieces", pa.table({"word": words, "pos": positions, "token": tokens}))
         got = self.db.execute(QUERY).fetchall()
         self.db.unregister("pieces")
-        for word, ids, text in got:
+        for word, ids, _ in got:
             self.known[pieces[word]] = ids
-            if (decoded := bytes.fromhex(text)) != raw[word]:
-                self.other[pieces[word]] = decoded
 
     def run(self, texts: list[str]) -> tuple[list[int], list[str], list[bytes]]:
         if len(self.known) > self.memory:
@@ -145,12 +143,10 @@ class Codec:
         for i in range(0, len(rest), AT_ONCE):
             self.learn(rest[i : i + AT_ONCE])
         ids = [",".join(map(self.known.__getitem__, ps)) for ps in split]
-        return [x.count(",") + bool(x) for x in ids], ids, [self.decoded(ps) for ps in split]
+        return [x.count(",") + bool(x) for x in ids], ids, [self.decoded(x) for x in ids]
 
-    def decoded(self, pieces: list[str]) -> bytes:
-        if self.other:
-            return b"".join(self.other.get(p, p.encode()) for p in pieces)
-        return "".join(pieces).encode()
+    def decoded(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
 @lru_cache(maxsize=2)

@@ -170,6 +170,15 @@ def test_bpe_memory_runs_over(monkeypatch):
         assert decoded == [b"alpha beta gammadelta", b"zzqqxx epsilon"] and n == [len(i.split(",")) for i in ids]
 
 
+def test_bpe_decodes_the_ids():
+    """Wrong ids do not decode to the text."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    c = bpe.Codec(path, public_tokenizers.PATTERN)
+    c.run(["alpha"])
+    c.known["alpha"] = ",".join(str(c.ranks[b]) for b in (b"o", b"m"))
+    assert c.run(["alpha"])[1:] == ([c.known["alpha"]], [b"om"])
+
+
 def test_bpe_long_pieces():
     import tiktoken
 
