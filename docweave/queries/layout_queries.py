@@ -150,5 +150,5 @@ def caption_continuation(spark, sf_dir):
 @query()
 def dehyphenated_cells(spark, sf_dir):
     """Cells made of line ends and beginnings; look-around has no SQL counterpart in the oracle."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r" (\p{L})", "- $1").alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r" (\p{L})", "- $1").alias("text"))
     return layout.dehyphenate_cells(d).select("doc_id", "text", "changed")

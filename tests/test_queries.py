@@ -48,3 +48,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dehyphenated_cells_reads_whole_texts(spark, tmp_path):
+    """A word wrapped beyond the first 200 characters is joined too."""
+    from docweave.queries.layout_queries import dehyphenated_cells
+
+    text = "Anfang. " * 40 + "Daten bank"
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = dehyphenated_cells(spark, str(tmp_path)).first()
+    assert row.changed and row.text.endswith(" Daten-bank")
