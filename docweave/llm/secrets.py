@@ -26,7 +26,10 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: '=' belongs to a token only as padding at its end.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: What a token of no one encoding may hold: each reading takes the other's marks as ends.
+READINGS = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 
 #: Encodings by alphabet, the narrowest first; a token belongs to the first that holds all its characters.
 ALPHABETS = (
@@ -104,16 +107,29 @@ def kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2
 
 
+def tokens(text: str):
+    """(start, end) of the tokens, and of the pieces of those that no encoding holds."""
+    for m in TOKEN.finditer(text):
+        if encoding(m[0].rstrip("=")):
+            yield m.span()
+        else:
+            yield from sorted({p.span() for reading in READINGS for p in reading.finditer(text, *m.span())})
+
+
 def random_spans(text: str, alpha: float = 0.001, fdr: float = 1e-4) -> list[tuple[int, int, str]]:
     tested = []
-    for m in TOKEN.finditer(text):
-        got = battery(m[0])
+    for start, end in tokens(text):
+        got = battery(text[start:end])
         if got:
             passed = 3 * min(got["chi"], got["runs"], got["serial"]) >= alpha
-            tested.append((got["text_p"] if passed and got["classes"] > 1 else 1.0, m.start(), m.end(), got["encoding"]))
+            tested.append((got["text_p"] if passed and got["classes"] > 1 else 1.0, start, end, got["encoding"]))
     tested.sort()
     last = max((i for i, t in enumerate(tested, 1) if t[0] <= fdr * i / len(tested)), default=0)
-    return [(s, e, enc) for _, s, e, enc in tested[:last]]
+    out: list[tuple[int, int, str]] = []
+    for _, s, e, enc in tested[:last]:
+        if all(e <= a or b <= s for a, b, _ in out):  # of two readings of one place, the less likely text
+            out.append((s, e, enc))
+    return out
 
 
 def scan(text: str | None, alpha: float = 0.001, fdr: float = 1e-4) -> list[tuple[str, int, int, str]]:

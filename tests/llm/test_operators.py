@@ -291,6 +291,15 @@ def test_secrets(spark):
     assert got[3] == [("random", 4, 44)] and got[4:] == [[], [], [], []]
 
 
+def test_secrets_inside_assignments_and_paths():
+    """Keys after an inner '=', or beside marks of another encoding, are tested on their own."""
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    for before, after in (("session=", ""), ("KEY=", "=="), ("?sig=", "&x=1"), ("some/path_", ""), ("a-b/", "_c+d"), ("", "=value")):
+        spans = [(s, e) for kind, s, e, _ in secrets.scan(f"see {before}{key}{after} there") if kind == "random"]
+        assert len(spans) == 1 and spans[0][0] <= 4 + len(before) and spans[0][1] >= 4 + len(before) + 40, (before, after, spans)
+
+
 def line_sets(text):
     return [frozenset(w for w in re.split(r"[ \t\x0b\f\r]+", line.lower()) if w) for line in text.split("\n")]
 
