@@ -10,21 +10,23 @@ line, whether that one stays or not, is similar enough; so of equal lines the
 first stays.
 
 Rarity is the count of a word's hash bucket over all documents; any fixed
-order gives the same result, and the table of buckets has a fixed size.  In the
-long list of a prefix word, all members are first compared with two of them;
-then only lines that still stay are compared with all earlier ones.  So a list
-of near copies makes few pairs, and no match of a line that stays is missed.
+order gives the same result, and the table of buckets has a fixed size.  Before
+the join, each line is compared with the first line under each of its rarest
+words, so the lines of near copies have mostly gone.  Then only lines that
+still stay are compared with all earlier ones: a group of near copies makes few
+pairs, and no match of a line that stays is missed.
 
 Words are separated by white space and in lower case.  Lines end at \\n.  Blank
 lines have no words and stay.  A null text stays null, an empty one empty.  Rows
 of equal doc_id (null is one such id) share the line numbers that go: a line
 that has an earlier similar line in one of them goes from all of them.
-Columns other than doc_id and text pass through.
+Columns other than doc_id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,26 +34,32 @@ from pyspark.sql import functions as F
 from docweave.llm.common import discard, join_checked, materialize, scratch
 
 #: Hash buckets of the rarity table.
-BUCKETS = 1 << 16
-#: Members of a list from which on it counts as long.
-LONG_LIST = 200
+BUCKETS = 1 << 18
+#: Steps of rarity for each doubling of a bucket's count; there are 127 at most.
+STEPS = 4
+#: Rarest words of a line under which it is compared with the first line.
+HEAD_WORDS = 2
 #: Words of 64 bits in the wider bitmaps, a power of two.
 SIFT = 4
-#: Documents of which line numbers are broadcast, at most.
-MAX_BROADCAST = 200_000
+#: Size classes span so many factors of 100/percent.
+SIZES = 5
+#: Ids of lines or documents that are broadcast, at most.
+MAX_BROADCAST = 500_000
 
 
-def tokens(text: Column, breaks: str = "") -> Column:
-    """The words of a text in lower case, with an empty one for each space beside another."""
-    return F.split(F.lower(F.regexp_replace(text, rf"[\t\x0b\f\r{breaks}]", " ")), " ")
+def tokens(text: Column, breaks: str = "\t\x0b\f\r") -> Column:
+    """The words of a line in lower case, with an empty one for each space beside another."""
+    for c in breaks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.lower(text), " ")
 
 
 def rarity(docs: DataFrame) -> list[int]:
-    """For each hash bucket, 64 times the binary logarithm of its words' count over all documents."""
-    words = docs.select(F.explode(tokens(F.col("text"), r"\n")).alias("w"))
+    """For each hash bucket, STEPS times the binary logarithm of its words' count over all documents."""
+    words = docs.select(F.explode(tokens(F.col("text"), "\n")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     table = [0] * BUCKETS
-    for b, n in counts.select("b", F.floor(F.log2("count") * 64).cast("int")).collect():  # BUCKETS rows at most
+    for b, n in counts.select("b", F.least(F.floor(F.log2("count") * STEPS), F.lit(127)).cast("int")).collect():  # BUCKETS rows at most
         table[b] = int(n)
     return table
 
@@ -60,12 +68,8 @@ def ranked(line: Column, table: list[int]) -> Column:
     """The line's distinct words as numbers, the rarest first: rarity in the high bits, a 51-bit hash below."""
     levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to one literal
     hashes = F.array_remove(F.array_distinct(F.transform(tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(
-        F.transform(
-            hashes,
-            lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 51).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1))),
-        )
-    )
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 51).bitwiseOR(F.shiftrightunsigned(h, 13))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -73,6 +77,47 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
+@dataclass
+class LineIds:
+    """One orderable id for (doc_id, ln): a packed number where both fit, else the two as a struct."""
+
+    shift: int | None
+
+    @classmethod
+    def of(cls, lines: DataFrame) -> LineIds:
+        last, low, high = lines.agg(F.max("ln"), F.min("doc_id"), F.max("doc_id")).first()
+        shift = max(1, int(last or 0).bit_length())
+        fits = max(abs(low or 0), abs(high or 0)) < 1 << (62 - shift)
+        return cls(shift if fits else None)
+
+    def pack(self) -> Column:
+        if self.shift is None:
+            return F.struct("doc_id", "ln")
+        doc = F.coalesce("doc_id", F.lit(-(1 << (62 - self.shift))).cast("bigint"))  # null is the least, as in a struct
+        return F.shiftleft(doc, self.shift).bitwiseOR(F.col("ln").cast("bigint"))
+
+    def unpack(self, column: str) -> list[Column]:
+        if self.shift is None:
+            return [F.col(f"{column}.doc_id").alias("doc_id"), F.col(f"{column}.ln").alias("ln")]
+        doc = F.shiftright(column, self.shift)
+        ln = F.col(column).bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int")
+        return [F.when(doc != F.lit(-(1 << (62 - self.shift))), doc).alias("doc_id"), ln.alias("ln")]
+
+
+def parity(words: Column | str) -> list[Column]:
+    """128 bits, of which each word flips one; so sets differ in as many words as their bits at least."""
+
+    def half(which):
+        one = lambda x: F.shiftright(which(x), 6).bitwiseAND(F.lit(1).cast("bigint"))
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [half(lambda x: x).alias("bits"), half(F.bitwise_not).alias("more")]
+
+
+def bits_differ() -> Column:
+    return F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("a_more")))
+
+
 def similar_lines(docs: DataFrame, percent: int = 80, folder: str | None = None) -> DataFrame:
     """(doc_id, ln) of each line that has an earlier similar line.  ``folder`` holds the tables made on the way."""
     folder = folder or scratch("lines")
@@ -81,74 +126,84 @@ def similar_lines(docs: DataFrame, percent: int = 80, folder: str | None = None)
     n = F.size("words")
     # Blank lines are left out only when the lines are read again: a filter here would rank all words twice.
     lines = lines_of(docs).withColumn("words", ranked(F.col("line"), table))
-    lines = lines.select(
-        "doc_id",
-        "ln",
-        F.xxhash64("words").alias("f1"),
-        F.xxhash64("words", F.lit(1)).alias("f2"),
-        n.alias("n"),
-        F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-        F.transform(F.slice("words", F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-    )
+    short = F.transform(F.slice("words", F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    lines = lines.select("doc_id", "ln", F.xxhash64("words").alias("f1"), F.xxhash64("words", F.lit(1)).alias("f2"), n.alias("n"), *parity("words"), short.alias("prefix"))
     lines = materialize(lines, f"{folder}/lines").filter("n > 0")
-    classes = materialize(lines.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "ln", "n", "bits", "prefix")).alias("m")).select("m.*", "f1", "f2"), f"{folder}/classes")
+    ids = LineIds.of(lines)
+    lines = lines.withColumn("id", ids.pack())
+    classes = lines.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "bits", "more", "prefix")).alias("m"), F.count("*").alias("copies")).select("m.*", "f1", "f2", "copies")
+    classes = materialize(classes, f"{folder}/classes")
+    repeated = classes.filter("copies > 1").select(F.col("id").alias("first"), "f1", "f2")
+    copies = join_checked(lines.select("id", "f1", "f2"), repeated, ["f1", "f2"], "inner", MAX_BROADCAST).filter("id <> first").select("id")
+
+    differing = classes.filter(n_can_differ(F.col("n"), percent)).select("id", "n", "bits", "more", "prefix")
+    near = with_heads(differing, percent, f"{folder}/head-pairs")
+    gone = verify(near, sets_of(near, docs, ids, table, f"{folder}/heads"), percent, f"{folder}/found-heads")
+    marked = join_checked(differing, gone.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left", MAX_BROADCAST).withColumn("open", F.col("of").isNull().cast("int")).drop("of")
+    pairs = materialize(candidates(marked, percent), f"{folder}/pairs")
+    words_of = sets_of(pairs, docs, ids, table, f"{folder}/pairs")
+    # One similar line is enough: the likeliest one is tried first, and all others only where it is not.
+    likely = pairs.groupBy("id").agg(F.min(F.struct("differ", "head")).alias("h")).select("id", "h.head")
+    found = verify(likely, words_of, percent, f"{folder}/found-likely")
+    rest = without(pairs.select("id", "head").distinct(), found)
+    found = found.unionByName(verify(rest, words_of, percent, f"{folder}/found-rest"))
+    return copies.unionByName(gone).unionByName(found).distinct().select(*ids.unpack("id"))
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return join_checked(rows, ids.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_anti", MAX_BROADCAST)
+
+
+def part(n: Column, percent: float) -> Column:
+    """The least whole number that is at least ``percent`` per cent of n."""
+    return F.ceil(n * F.lit(percent / 100) - F.lit(1e-9)).cast("int")
+
 
-    differing = classes.filter(n_can_differ(F.col("n"), percent))
+def n_can_differ(n: Column, percent: int) -> Column:
+    """Whether sets of n words can be similar to other sets: one word more or less must be allowed."""
+    return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
 
-    def posting(rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.select("doc_id", "ln", "n", "bits", *columns, F.posexplode("prefix").alias("pos", "word"))
 
-    early = by_heads(posting(differing), docs, table, percent, folder)
-    if early is not None:
-        gone = early.select(F.col("id.doc_id").alias("_d"), F.col("id.ln").alias("_l"))
-        differing = join_checked(differing, gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ln") == F.col("_l")), "left", MAX_BROADCAST)
-        differing = differing.withColumn("open", F.col("_l").isNull().cast("int"))
-    else:
-        differing = differing.withColumn("open", F.lit(1))
-    posted = posting(differing, "open")
+def sizes_allow(percent: int, n: Column, m: Column) -> Column:
+    """Bitmap and length filters of a pair; neither loses a similar one."""
+    return (bits_differ() * (100 + percent) <= (100 - percent) * (n + m)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+
+
+def with_heads(rows: DataFrame, percent: int, name: str) -> DataFrame:
+    """(id, head): lines and the first lines under their rarest words; HEAD_WORDS rows a line at most."""
+    posted = rows.select("id", "n", "bits", "more", F.explode(F.slice("prefix", 1, HEAD_WORDS)).alias("word"))
+    lists = posted.groupBy("word").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1").select("word", "head")
+    met = posted.join(lists, "word").filter("head < id").select("id", "n", "bits", "more", "head").distinct()
+    heads = rows.select(F.col("id").alias("head"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("more").alias("a_more"))
+    met = met.join(heads, "head").filter(sizes_allow(percent, F.col("n"), F.col("a_n")))
+    return materialize(met.select("id", "head"), name)
+
+
+def candidates(marked: DataFrame, percent: int) -> DataFrame:
+    """(id, head, differ): pairs that share a word within their prefixes, the later one open, and pass the filters."""
+    posted = marked.select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("pos", "word"))
     # The smaller set of a pair shares a word within a prefix that is shorter still.  Its size falls into the
     # larger one's class of sizes or, near the class's top, the one below, so it is posted for both there.
-    step = F.lit(3 * math.log(100 / percent))
+    step = F.lit(SIZES * math.log(100 / percent))
     own = F.floor(F.ln("n") / step + F.lit(1e-9))
     above = F.floor((F.ln("n") + math.log(100 / percent)) / step + F.lit(1e-6))
     packed = [
         F.shiftleft(F.col("sizes").cast("bigint"), 32).bitwiseOR(F.col("word").cast("bigint")).alias("at"),
         F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("open").cast("bigint")).alias("facts"),
-        "bits", "doc_id", "ln",
+        "bits", "more", "id",
     ]
     index = posted.filter(F.col("pos") <= F.col("n") - part(F.col("n"), 200 * percent / (100 + percent)))
     index = index.withColumn("sizes", F.explode(F.array_distinct(F.array(own, above)))).select(*packed)
     index = index.select([F.col(c).alias(f"a_{c}") for c in index.columns])
     probe = posted.withColumn("sizes", own).select(*packed)
     n, pos, open_ = unpacked("facts")
-    a_n, a_pos, a_open = unpacked("a_facts")
-    ids, a_ids = F.struct("doc_id", "ln"), F.struct("a_doc_id", "a_ln")
-    smaller = (a_n < n) | ((a_n == n) & (a_ids < ids))
-    later_open = F.when(a_ids > ids, a_open).otherwise(open_) == 1
-    pairs = index.hint("shuffle_hash").join(probe, (F.col("a_at") == F.col("at")) & may_match(percent, n, a_n, pos, a_pos) & smaller & later_open)
-    x, y = F.struct(F.col("doc_id").alias("doc_id"), F.col("ln").alias("ln")), F.struct(F.col("a_doc_id").alias("doc_id"), F.col("a_ln").alias("ln"))
-    pairs = pairs.select(F.greatest(x, y).alias("id"), F.least(x, y).alias("head"), F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).alias("differ"))
-    pairs = materialize(pairs, f"{folder}/pairs")
-    # One similar line is enough: the likeliest one is tried first, and all others only where it is not.
-    likely = pairs.groupBy("id").agg(F.min(F.struct("differ", "head")).alias("h")).select("id", "h.head")
-    words_of = sets_of(pairs, docs, table, folder)
-    found = verify(likely, words_of, percent, f"{folder}/found-1")
-    rest = join_checked(pairs, found.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left_anti", MAX_BROADCAST)
-    found = found.unionByName(verify(rest.select("id", "head"), words_of, percent, f"{folder}/found-2"))
-    removed = found if early is None else found.unionByName(early)
-    again = lines.select("doc_id", "ln", "f1", "f2").join(classes.select(F.col("doc_id").alias("d0"), F.col("ln").alias("l0"), "f1", "f2"), ["f1", "f2"])
-    first = (F.col("doc_id").eqNullSafe(F.col("d0"))) & (F.col("ln") == F.col("l0"))
-    return again.filter(~first).select("doc_id", "ln").unionByName(removed.select("id.*").distinct())
-
-
-def part(n: Column, percent: float) -> Column:
-    """The least whole number that is at least ``percent`` per cent of n."""
-    return F.ceil(n * F.lit(percent / 100) - F.lit(1e-9)).cast("int")
-
-
-def n_can_differ(n: Column, percent: int) -> Column:
-    """Whether sets of n words can be similar to other sets: one word more or less must be allowed."""
-    return (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
+    m, a_pos, a_open = unpacked("a_facts")
+    smaller = (m < n) | ((m == n) & (F.col("a_id") < F.col("id")))
+    later_open = F.when(F.col("a_id") > F.col("id"), a_open).otherwise(open_) == 1
+    shared = F.least(pos, a_pos) + F.least(n - pos, m - a_pos)
+    in_place = shared * (100 + percent) >= percent * (n + m)
+    pairs = index.hint("shuffle_hash").join(probe, (F.col("a_at") == F.col("at")) & later_open & sizes_allow(percent, n, m) & in_place & smaller)
+    return pairs.select(F.greatest("id", "a_id").alias("id"), F.least("id", "a_id").alias("head"), bits_differ().alias("differ"))
 
 
 def unpacked(facts: str) -> tuple[Column, Column, Column]:
@@ -156,41 +211,12 @@ def unpacked(facts: str) -> tuple[Column, Column, Column]:
     return F.shiftright(f, 32).cast("int"), F.shiftright(f, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), f.bitwiseAND(F.lit(1))
 
 
-def may_match(percent: int, n: Column, m: Column, pos: Column, a_pos: Column) -> Column:
-    """Bitmap, length and positional filters of a pair; none of them loses a similar pair.
-
-    Each word of a set flips one of 64 bits, so sets differ in as many words as
-    their bits at least.
-    """
-    shared = F.least(pos, a_pos) + F.least(n - pos, m - a_pos)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits")))
-    return (differ * (100 + percent) <= (100 - percent) * (n + m)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (shared * (100 + percent) >= percent * (n + m))
-
-
-def by_heads(posted: DataFrame, docs: DataFrame, table: list[int], percent: int, folder: str) -> DataFrame | None:
-    """(id) of lines that are similar to an earlier one of two fixed members of a long list; None without long lists.
-
-    Lists of near copies are mostly done with after this, in two rows a member.
-    """
-    words = materialize(posted.groupBy("word").agg(F.count("*").alias("members")).filter(F.col("members") > LONG_LIST).select("word"), f"{folder}/long-lists")
-    if words.isEmpty():
-        return None
-    posted = posted.join(words, "word", "left_semi").withColumn("id", F.struct("doc_id", "ln"))
-    row = F.struct("id", "n", "bits", "pos")
-    heads = posted.groupBy("word").agg(F.min(row).alias("h1"), F.min_by(row, F.struct(F.xxhash64("id"), "id")).alias("h2"))
-    heads = materialize(heads.select(F.col("word").alias("a_word"), F.explode(F.array("h1", "h2")).alias("h")).select("a_word", *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bits", "pos")]), f"{folder}/heads")
-    matched = may_match(percent, F.col("n"), F.col("a_n"), F.col("pos"), F.col("a_pos"))
-    pairs = posted.join(heads, (F.col("a_word") == F.col("word")) & (F.col("a_id") < F.col("id")) & matched).select("id", F.col("a_id").alias("head"))
-    pairs = materialize(pairs, f"{folder}/head-pairs")
-    return verify(pairs, sets_of(pairs, docs, table, f"{folder}/heads-of"), percent, f"{folder}/found-0")
-
-
-def sets_of(pairs: DataFrame, docs: DataFrame, table: list[int], folder: str) -> DataFrame:
-    """(id, words) of all lines in pairs (id, head), from the texts again."""
-    wanted = pairs.select("id").union(pairs.select("head")).distinct().select("id.*").groupBy("doc_id").agg(F.collect_set("ln").alias("wanted")).withColumnRenamed("doc_id", "_of")
-    rows = join_checked(docs, materialize(wanted, f"{folder}/wanted"), F.col("doc_id").eqNullSafe(F.col("_of")), "inner", MAX_BROADCAST)
+def sets_of(pairs: DataFrame, docs: DataFrame, ids: LineIds, table: list[int], folder: str) -> DataFrame:
+    """(id, words, n, bitmaps) of all lines in pairs (id, head), from the texts again."""
+    wanted = pairs.select("id").union(pairs.select("head")).distinct().select(*ids.unpack("id")).groupBy("doc_id").agg(F.collect_set("ln").alias("wanted")).withColumnRenamed("doc_id", "of")
+    rows = join_checked(docs, materialize(wanted, f"{folder}/wanted"), F.col("doc_id").eqNullSafe(F.col("of")), "inner", MAX_BROADCAST // 2)
     rows = rows.select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.array_contains("wanted", F.col("ln")))
-    words = rows.select(F.struct("doc_id", "ln").alias("id"), ranked(F.col("line"), table).alias("words"))
+    words = rows.select(ids.pack().alias("id"), ranked(F.col("line"), table).alias("words"))
     return materialize(words.select("id", "words", F.size("words").alias("n"), *[flips("words", k).alias(f"b{k}") for k in range(SIFT)]), f"{folder}/sets")
 
 
@@ -211,7 +237,7 @@ def verify(pairs: DataFrame, words_of: DataFrame, percent: int, name: str) -> Da
     differ = F.lit(0)
     for k in range(SIFT):
         differ = differ + F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b{k}")))
-    sifted = pairs.distinct().join(a, "id").join(b, "head").filter(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("a_n"))).select("id", "head")
+    sifted = pairs.join(a, "id").join(b, "head").filter(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("a_n"))).select("id", "head")
     wa = words_of.select("id", F.col("words").alias("wa"))
     wb = words_of.select(F.col("id").alias("head"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -222,10 +248,12 @@ def verify(pairs: DataFrame, words_of: DataFrame, percent: int, name: str) -> Da
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the lines that have an earlier similar line."""
     folder = scratch("lines")
-    gone = similar_lines(docs, percent, folder).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone")).withColumnRenamed("doc_id", "_of")
+    gone = similar_lines(docs, percent, folder).groupBy("doc_id").agg(F.collect_set("ln").alias("gone")).withColumnRenamed("doc_id", "of")
     gone = materialize(gone, "lines-gone")
     discard(docs.sparkSession, folder)
-    joined = join_checked(docs, gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left", MAX_BROADCAST)
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # its columns may have any names
+    joined = join_checked(rows, gone, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("of")), "left", MAX_BROADCAST // 2)
+    text = F.col("row.text")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
