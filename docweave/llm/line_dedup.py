@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from docweave.llm.common import discard, join_checked, materialize, scratch
 
 #: Hash buckets of the rarity table.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Steps of rarity for each doubling of a bucket's count; there are 127 at most.
 STEPS = 4
 #: Rarest words of a line under which it is compared with the first line.
@@ -42,9 +42,9 @@ HEAD_WORDS = 2
 #: Words of 64 bits in the wider bitmaps, a power of two.
 SIFT = 4
 #: Size classes span so many factors of 100/percent.
-SIZES = 5
+SIZES = 3
 #: Ids of lines or documents that are broadcast, at most.
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 300_000
 
 
 def tokens(text: Column, breaks: str = "\t\x0b\f\r") -> Column:
@@ -104,7 +104,7 @@ class LineIds:
         return [F.when(doc != F.lit(-(1 << (62 - self.shift))), doc).alias("doc_id"), ln.alias("ln")]
 
 
-def parity(words: Column | str) -> list[Column]:
+def parity(words: str) -> list[Column]:
     """128 bits, of which each word flips one; so sets differ in as many words as their bits at least."""
 
     def half(which):
