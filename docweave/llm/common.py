@@ -62,7 +62,7 @@ _SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n + 1:
         size = max(n + 1, 1 << 20)
         _powers[:] = []
@@ -96,7 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     edge[offsets] = True
     starts = np.flatnonzero(~space & (edge[:n] | np.concatenate(([True], space[:-1]))))
     ends = np.flatnonzero(~space & (edge[1:] | np.concatenate((space[1:], [True])))) + 1
-    power, inverse = _power_tables(n)
+    power, inverse = power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER if lower else _SAME)[data] * power[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
