@@ -49,6 +49,12 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int)
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (one column); columns of ``docs`` may have any names."""
+    name = f"of_{uuid.uuid4().hex}"
+    return docs.join(gone.toDF(name), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 # Word hashing over UTF-8 buffers.  Words are maximal runs of bytes other than
 # space and \t..\r; A-Z count as a-z.  All steps are NumPy passes over a block.
 

@@ -1,11 +1,13 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
-A block is a run of whole texts of one task.  It explodes its texts into
-n-grams and keeps each distinct one once, dealt by hash into buckets.  The
-count table of a bucket sums the blocks' counts, and is joined back to the
-blocks' n-grams.  Each block then looks its n-grams up by place and sums the
-scores of each document.  So what is shuffled is one row for each block and
-bucket, and a frequent n-gram has one entry a block, however often it occurs.
+A block is a run of whole texts of one task, written before it is used.  It
+explodes its texts into n-grams and keeps each distinct one once, dealt by hash
+into buckets.  The count table of a bucket sums the blocks' counts, and is
+joined back to the blocks' n-grams.  Each block then looks its n-grams up by
+place and sums the scores of each document.  What is shuffled are rows that
+pack the n-grams of a block in one bucket; a block has rows only for buckets
+that it has n-grams in, so there are never more rows than distinct n-grams of
+blocks, and a frequent n-gram has one entry a block, however often it occurs.
 
 The score of a word is ln(c(n-gram) / c(context)) for the longest n-gram that
 occurs elsewhere, with ln(``backoff``) for each word of context given up; the
@@ -21,6 +23,8 @@ read; words are separated by white space, A-Z lowered.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +36,8 @@ ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block.
 BLOCK = 8 << 20
-#: Buckets that n-grams are dealt into by hash.
-BUCKETS = 128
+#: Packed rows that are handed over at once.
+ROWS = 256
 #: Bits of an n-gram's hash that are kept beside its bucket.
 BITS = 56
 
@@ -70,13 +74,13 @@ def unpack(data: bytes) -> np.ndarray:
 def pack_counts(counts: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -89,13 +93,7 @@ class Block:
     """Consecutive rows of one task: ids and the texts' bytes."""
 
     def __init__(self, ids: list, data: np.ndarray, offsets: np.ndarray):
-        import hashlib
-
         self.ids, self.data, self.offsets = ids, data, offsets
-        digest = hashlib.blake2b(repr(ids).encode(), digest_size=16)
-        digest.update(offsets.tobytes())
-        digest.update(np.ascontiguousarray(data))
-        self.name = digest.hexdigest()
 
     def payload(self) -> bytes:
         import pickle
@@ -141,6 +139,7 @@ def blocks(batches, size: int):
         yield join()
 
 
+BLOCKS = "block string, payload binary, bytes bigint"
 EXPLODED = "block string, bucket int, hashes array<binary>, counts array<binary>"
 COUNTED = "block string, bucket int, payload binary, totals array<binary>, words bigint"
 
@@ -159,7 +158,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
         total = np.bincount(place, np.concatenate([unpack_counts(c[n]) for c in counts]), len(every)).astype(np.uint64)
         if n == 0:
             words = int(total.sum())
-        found = np.minimum(total, np.uint64(0xFFFFFFFF))[place]
+        found = total[place]
         for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:])):
             totals[i].append(pack_counts(found[a:b]))
     columns = [pa.array(names), pa.array([bucket] * len(names), pa.int32()), pa.array([None] * len(names), pa.binary()), pa.array(totals, pa.list_(pa.binary())), pa.array([words if i == 0 else 0 for i in range(len(names))], pa.int64())]
@@ -196,49 +195,44 @@ def score_block(block: Block, totals: list[np.ndarray], n_words: int, order: int
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK) -> DataFrame:
-    """One row for each document: doc_id, n_words, score (natural logarithm, summed), mean_score.
-
-    ``docs`` is read twice and must give the same tasks each time, as files do;
-    a block that is not met again is an error, not a missing score.
-    """
+    """One row for each document: doc_id, n_words, score (natural logarithm, summed), mean_score."""
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, size // block_bytes)
 
-    def explode(batches):
+    def written(batches):
         for block in blocks(batches, block_bytes):
-            counted = block.counted(order)
-            edges = [bounds(keys, buckets) for keys, _ in counted]
-            for b in range(buckets):
-                parts = [(keys[e[b] : e[b + 1]], counts[e[b] : e[b + 1]]) for (keys, counts), e in zip(counted, edges)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.name]), pa.array([b], pa.int32()), pa.array([[pack(k) for k, _ in parts]], pa.list_(pa.binary())), pa.array([[pack_counts(c) for _, c in parts]], pa.list_(pa.binary()))],
-                    ["block", "bucket", "hashes", "counts"],
-                )
-
-    def texts(batches):
-        for block in blocks(batches, block_bytes):
-            columns = [pa.array([block.name]), pa.array([-1], pa.int32()), pa.array([block.payload()], pa.binary()), pa.array([None], pa.list_(pa.binary())), pa.array([0], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "payload", "totals", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([block.payload()], pa.binary()), pa.array([len(block.data)], pa.int64())], ["block", "payload", "bytes"])
+
+    stored = materialize(rows.mapInArrow(written, BLOCKS), "lm-blocks")
+    size = stored.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(16, size // block_bytes)
 
-    counted = materialize(rows.mapInArrow(explode, EXPLODED).groupBy("bucket").applyInArrow(count_bucket, COUNTED), "lm-counts")
+    def explode(batches):
+        for batch in batches:
+            for name, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                counted = open_block(payload.as_py()).counted(order)
+                edges = [bounds(keys, buckets) for keys, _ in counted]
+                some = np.flatnonzero(np.any([np.diff(e) for e in edges], axis=0))
+                for i in range(0, len(some), ROWS):
+                    chunk = some[i : i + ROWS].tolist()
+                    hashes = [[pack(keys[e[b] : e[b + 1]]) for (keys, _), e in zip(counted, edges)] for b in chunk]
+                    counts = [[pack_counts(c[e[b] : e[b + 1]]) for (_, c), e in zip(counted, edges)] for b in chunk]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(chunk)), pa.array(chunk, pa.int32()), pa.array(hashes, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary()))],
+                        ["block", "bucket", "hashes", "counts"],
+                    )
+
+    counted = materialize(stored.select("block", "payload").mapInArrow(explode, EXPLODED).groupBy("bucket").applyInArrow(count_bucket, COUNTED), "lm-counts")
     n_words = counted.agg(F.sum("words")).first()[0] or 0
 
     def run(table: pa.Table) -> pa.Table:
         bucket = np.array(table.column("bucket").to_pylist())
-        at = np.flatnonzero(bucket == -1)
-        if not len(at) or len(bucket) % (buckets + 1):
-            raise RuntimeError("the documents' tasks changed between two reads; write them to a table first")
-        out = []
-        copies = len(at)  # blocks of equal names have equal rows
-        block = open_block(table.column("payload")[int(at[0])].as_py())
-        rest = [i for i in np.argsort(bucket, kind="stable") if bucket[i] >= 0][::copies]
-        found = [table.column("totals")[int(i)].as_py() for i in rest]
-        totals = [np.concatenate([unpack_counts(f[n]) for f in found]).astype(np.float64) for n in range(order)]
+        order_of = np.argsort(bucket, kind="stable")
+        block = open_block(table.column("payload")[int(order_of[0])].as_py())
+        found = [table.column("totals")[int(i)].as_py() for i in order_of[1:]]
+        totals = [np.concatenate([np.zeros(0), *(unpack_counts(f[n]) for f in found)]).astype(np.float64) for n in range(order)]
         words, scores = score_block(block, totals, n_words, order, backoff)
-        for _ in range(copies):
-            out.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64(), mask=words == 0)], names=["doc_id", "n_words", "score"]))
-        return pa.concat_tables(out)
+        return pa.table([pa.array(block.ids, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64(), mask=words == 0)], names=["doc_id", "n_words", "score"])
 
-    scored = counted.unionByName(rows.mapInArrow(texts, COUNTED)).groupBy("block").applyInArrow(run, "doc_id bigint, n_words bigint, score double")
+    texts = stored.select("block", F.lit(-1).cast("int").alias("bucket"), "payload", F.lit(None).cast("array<binary>").alias("totals"), F.lit(0).cast("bigint").alias("words"))
+    scored = counted.unionByName(texts).groupBy("block").applyInArrow(run, "doc_id bigint, n_words bigint, score double")
     return scored.withColumn("mean_score", F.col("score") / F.col("n_words"))

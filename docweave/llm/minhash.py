@@ -8,8 +8,9 @@ at least ``matches`` coordinates collide.  As in prefix filtering and skip
 merging, postings that nobody shares are skipped, classes that share too few
 are left out, and of the m shared postings of a class only the m - matches + 1
 rarest are merged: a pair with enough collisions meets in one of these.
-Candidates must also agree in enough of many more coordinates, of which two
-bits each are kept, and are then confirmed on their full sets.
+Pairs that meet must also agree in enough of many more coordinates, of which
+two bits each are kept.  The collisions of those left are counted, pairs below
+``matches`` go, and the others are confirmed on their full sets.
 
 In a merged list, members are first compared with the list's smallest id
 only, over and over with one id a component, and last with all members of
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import join_checked, materialize, mix64, text_blocks, word_hashes
+from docweave.llm.common import join_checked, materialize, mix64, text_blocks, without_ids, word_hashes
 from docweave.llm.components import components
 
 SHINGLE = 5
@@ -161,6 +162,12 @@ def sketch_columns(sets: DataFrame, side: str) -> DataFrame:
     return sets.select(F.col("id").alias(side), F.size("shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_all"), *words)
 
 
+def collide(pairs: DataFrame, of_class: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) with at least ``matches`` collisions: keys of coordinate and value that both have."""
+    a, b = (of_class.select(F.col("id").alias(x), F.transform("lists", lambda p: p["key"]).alias(f"keys_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(F.size(F.array_intersect("keys_a", "keys_b")) >= matches).select("a", "b")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -218,7 +225,8 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordi
             b = a.withColumnsRenamed({c: "b" + c[1:] for c in a.columns if c != "key"}).withColumnRenamed("key", "b_key")
             once = F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == F.col("key")
             pairs = _ordered(a.join(b, (F.col("key") == F.col("b_key")) & (F.col("a_c") < F.col("b_c")) & agree(percent) & once).filter(agree_all(percent)), "a", "b")
-        found = materialize(confirm(materialize(pairs, "minhash-pairs"), sets, percent), "minhash-links")
+        counted = materialize(collide(materialize(pairs, "minhash-pairs"), of_class, matches), "minhash-collisions")
+        found = materialize(confirm(counted, sets, percent), "minhash-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = materialize(components(links), "minhash-components")
@@ -235,5 +243,5 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordi
 
 def near_dedup(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the smallest doc_id; empty texts all stay."""
-    gone = near_components(docs, percent, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(materialize(gone, "minhash-gone"), F.col("doc_id").eqNullSafe(F.col("_of")), "left_anti")
+    gone = near_components(docs, percent, **options).filter("component_id <> doc_id").select("doc_id").distinct()
+    return without_ids(docs, materialize(gone, "minhash-gone"))

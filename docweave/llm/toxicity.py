@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import materialize, without_ids
 
 #: Labelled documents that are examples, at most; the choice is by a hash of doc_id.
 MAX_EXAMPLES = 20_000
@@ -265,5 +265,5 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` whose score is under the threshold; equal ids are decided together, by their highest score."""
-    bad = score(docs, labels, **options).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(materialize(bad, "toxicity-rejected"), F.col("doc_id").eqNullSafe(F.col("_of")), "left_anti")
+    bad = score(docs, labels, **options).filter(F.col("score") >= threshold).select("doc_id").distinct()
+    return without_ids(docs, materialize(bad, "toxicity-rejected"))
