@@ -15,6 +15,11 @@ def fold(x: Column) -> Column:
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, rf"\A{SPACE}|{SPACE[4:]}\z", "")
+
+
 def squeeze(x: Column) -> Column:
     """White space runs, no-break spaces among them, as one space; none at the ends."""
     return F.trim(F.regexp_replace(x, SPACE, " "))
@@ -34,7 +39,7 @@ def furniture_key(x: Column) -> Column:
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(strip(x), F.lit(""))
 
 
 def evidence(quote: Column, qualifier: Column) -> Column:
@@ -44,7 +49,7 @@ def evidence(quote: Column, qualifier: Column) -> Column:
 
 def caption_reference(caption: Column) -> Column:
     """What stands before the first colon."""
-    return F.trim(F.split_part(caption, F.lit(":"), F.lit(1)))
+    return strip(F.split_part(caption, F.lit(":"), F.lit(1)))
 
 
 def contextualize(headings: Column, body: Column) -> Column:
@@ -56,12 +61,25 @@ def sentences(x: Column) -> Column:
 
 
 #: Conjunctions after a suspended hyphen.
-CONJUNCTIONS = ("und", "oder", r"bzw\.?", "sowie", "beziehungsweise")
+CONJUNCTIONS = ("und", "oder", "bzw", "sowie", "beziehungsweise")
 
 
 def dehyphenate(cell: Column) -> Column:
-    """Closes the gap in ``word- word`` unless a conjunction follows, as after suspended hyphens."""
-    return F.regexp_replace(cell, rf"(?U)(?<=\w)- (?=\w)(?!(?:{'|'.join(CONJUNCTIONS)})\b)", "-")
+    """Closes the gap in ``word- word`` unless a conjunction follows, as after suspended hyphens.
+
+    The cell is cut at its gaps, and each piece says by its first word, and by
+    the end of the piece before it, whether its gap is closed.
+    """
+    pieces = F.split(cell, "- ")
+
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+
+    def glued(piece: Column, last: Column) -> Column:
+        first = F.regexp_extract(piece, r"(?U)\A\w+", 0)
+        closes = last.rlike(r"(?U)\w\z") & (first != "") & ~first.isin(*CONJUNCTIONS)
+        return F.concat(F.when(last.isNull(), "").when(closes, "-").otherwise("- "), piece)
+
+    return F.array_join(F.zip_with(pieces, before, glued), "")
 
 
 def safe_stem(name: Column) -> Column:

@@ -12,13 +12,15 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.text import squeeze
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: The same tokens as ``functions.text.tokens``.
+_TOKEN = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]")
 _SENTENCE_END = re.compile(r"(?<=[.!?;:])\s+")
 
 

@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.text import fold, norm_key, squeeze
+from docweave.functions.text import norm_key, strip
 from docweave.operators.joins import broadcast_if_small
 
 #: Characters of a quote that must be there at least, and that are tried alone when the whole is not found.
 MIN_QUOTE, QUOTE_PREFIX = 12, 60
+#: Quotes of one or two words that are looked for in one pass over the texts, about.
+MAX_SHORT = 20_000
 
 
 def identity(keys: list[Column]) -> Column:
     """The keys joined by `` | ``; null unless all are there."""
     there = F.lit(True)
     for k in keys:
-        there = there & k.isNotNull() & (F.trim(k) != "")
+        there = there & k.isNotNull() & (strip(k) != "")
     return F.when(there, F.concat_ws(" | ", *keys))
 
 
 def label(display: Column, keys: list[Column]) -> Column:
-    return F.coalesce(F.nullif(F.trim(display), F.lit("")), identity(keys))
+    return F.coalesce(F.nullif(strip(display), F.lit("")), identity(keys))
 
 
 def node_id(class_name: Column, key: Column) -> Column:
@@ -38,13 +40,19 @@ def ordered_aliases(aliases: Column, merged: Column, name: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(aliases, merged), lambda x: x.isNotNull() & (x != "") & ~x.eqNullSafe(name)))
 
 
-def resolver(nodes: DataFrame) -> DataFrame:
-    """(class, key, node_id): first registration wins.
+def resolver(nodes: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope.., class, key, stripped, node_id): first registration wins.
 
     ``nodes`` (node_id, class, node_ord, keys, label, aliases): each identity
-    key registers by itself, then the label, then the aliases.
+    key registers by itself, then the label, then the aliases.  Where a column
+    ``strip_titles`` says so, keys are without titles.  ``scope`` names columns,
+    such as the document, that are resolved apart.
     """
+    if "strip_titles" not in nodes.columns:
+        nodes = nodes.withColumn("strip_titles", F.lit(False))
     ranked = nodes.select(
+        *scope,
+        F.col("strip_titles").alias("stripped"),
         "node_id",
         "class",
         "node_ord",
@@ -56,11 +64,26 @@ def resolver(nodes: DataFrame) -> DataFrame:
             )
         ).alias("r"),
     )
-    keyed = ranked.select("class", norm_key(F.col("r.text")).alias("key"), "node_id", "node_ord", "r.rank").filter("key <> ''")
-    return keyed.groupBy("class", "key").agg(F.min_by("node_id", F.struct("node_ord", "rank", "node_id")).alias("node_id"))
+    key = F.when(F.col("stripped"), norm_key(F.col("r.text"), strip_titles=True)).otherwise(norm_key(F.col("r.text")))
+    keyed = ranked.select(*scope, "class", "stripped", key.alias("key"), "node_id", "node_ord", "r.rank").filter("key <> ''")
+    return keyed.groupBy(*scope, "class", "key", "stripped").agg(F.min_by("node_id", F.struct("node_ord", "rank", "node_id")).alias("node_id"))
 
 
-def resolve(links: DataFrame, found: DataFrame, relations: DataFrame) -> DataFrame:
+def _keyed(links: DataFrame) -> DataFrame:
+    """Two rows a link: the target's key as it is, and without titles, for classes that strip them."""
+    plain, stripped = (F.struct(F.lit(s).alias("stripped"), norm_key(F.col("target"), strip_titles=s).alias("key")) for s in (False, True))
+    return links.withColumn("_k", F.explode(F.array(plain, stripped))).withColumn("_key", F.col("_k.key")).withColumn("_stripped", F.col("_k.stripped")).drop("_k")
+
+
+def _meets(found: DataFrame, scope: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    other = found.select(*[F.col(c).alias(f"_{c}_of") for c in scope], F.col("class").alias("_class"), F.col("key").alias("_found"), F.col("stripped").alias("_s"), F.col("node_id").alias("_node"))
+    same = (F.col("_key") == F.col("_found")) & (F.col("_stripped") == F.col("_s"))
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
+    return other, same
+
+
+def resolve(links: DataFrame, found: DataFrame, relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``target_id`` to links (link_id, relation, target_type, target), null where nothing fits.
 
     ``relations`` (relation, class, place) lists the permitted target classes in
@@ -68,21 +91,23 @@ def resolve(links: DataFrame, found: DataFrame, relations: DataFrame) -> DataFra
     joined by key alone and the hits are ranked by class, so a wildcard target
     costs no more than a single class.
     """
-    keyed = links.withColumn("_key", norm_key(F.col("target"))).filter("trim(target) <> ''")
-    hits = keyed.join(found.withColumnsRenamed({"class": "_class", "key": "_k", "node_id": "_node"}), F.col("_key") == F.col("_k"))
+    stated = links.filter(strip(F.col("target")) != "")
+    other, same = _meets(found, scope)
+    hits = _keyed(stated).join(other, same)
     permitted = hits.join(F.broadcast(relations.select(F.col("relation").alias("_rel"), F.col("class").alias("_c"), "place")), (F.col("relation") == F.col("_rel")) & (F.col("_class") == F.col("_c")))
     rank = F.struct(F.when(F.col("_class") == F.col("target_type"), 0).otherwise(1), "place")
     best = permitted.groupBy("link_id").agg(F.min_by("_node", rank).alias("target_id"), F.min_by("_class", rank).alias("target_class"))
-    return keyed.drop("_key").join(best, "link_id", "left")
+    return stated.join(best, "link_id", "left")
 
 
-def unresolved(resolved: DataFrame, found: DataFrame) -> DataFrame:
+def unresolved(resolved: DataFrame, found: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Links without a target, with the classes, not permitted ones, in which the key does occur."""
-    open_ = resolved.filter("target_id IS NULL").drop("target_id", "target_class").withColumn("_key", norm_key(F.col("target")))
-    other = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("other_classes"))
-    joined = open_.join(other, F.col("_key") == F.col("key"), "left")
+    open_ = resolved.filter("target_id IS NULL").drop("target_id", "target_class")
+    other, same = _meets(found, scope)
+    classes = _keyed(open_).join(other, same).groupBy("link_id").agg(F.array_join(F.array_sort(F.collect_set("_class")), ",").alias("other_classes"))
+    joined = open_.join(classes, "link_id", "left")
     reason = F.when(F.col("other_classes").isNull(), "no such node").otherwise(F.concat(F.lit("only in classes not permitted: "), F.col("other_classes")))
-    return joined.withColumn("reason", reason).drop("_key", "key", "other_classes")
+    return joined.withColumn("reason", reason).drop("other_classes")
 
 
 def remap(rows: DataFrame, merged: DataFrame, column: str = "node_id") -> DataFrame:
@@ -91,7 +116,7 @@ def remap(rows: DataFrame, merged: DataFrame, column: str = "node_id") -> DataFr
     return rows.join(to, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
-def merge_edges(edges: DataFrame, order: list[str]) -> DataFrame:
+def merge_edges(edges: DataFrame, order: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
     """One edge for each (source, target, type, polarity).
 
     The first row makes it, with its provenance; later rows only fill in a
@@ -100,16 +125,16 @@ def merge_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     place = F.struct(*order)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), place)).alias(c)
     properties = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,string>"))).alias("es"))))
-    grouped = edges.groupBy("source", "target", "type", "polarity").agg(first("quote"), first("qualifier"), F.min_by("provenance", place).alias("provenance"), properties.alias("ps"), F.count("*").alias("rows"))
+    grouped = edges.groupBy(*scope, "source", "target", "type", "polarity").agg(first("quote"), first("qualifier"), F.min_by("provenance", place).alias("provenance"), properties.alias("ps"), F.count("*").alias("rows"))
     flat = F.flatten(F.transform("ps", lambda p: p["es"]))
     names = F.array_distinct(F.transform(flat, lambda e: e["key"]))
     kept = F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.get(F.filter(flat, lambda e: e["key"] == k), F.lit(0))["value"])))
     return grouped.withColumn("properties", kept).drop("ps")
 
 
-def conflicts(edges: DataFrame) -> DataFrame:
+def conflicts(edges: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """(source, target, type, polarities) where both polarities are stated."""
-    found = edges.groupBy("source", "target", "type").agg(F.array_sort(F.collect_set("polarity")).alias("polarities"))
+    found = edges.groupBy(*scope, "source", "target", "type").agg(F.array_sort(F.collect_set("polarity")).alias("polarities"))
     return found.filter(F.array_contains("polarities", "positive") & F.array_contains("polarities", "negative"))
 
 
@@ -123,7 +148,8 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def quote_key(x: Column) -> Column:
-    return fold(squeeze(x))
+    """Quotes are compared by the key that names are matched by, so a full stop at their end does not matter."""
+    return norm_key(x)
 
 
 def ground(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -163,9 +189,46 @@ def ground_anywhere(quotes: DataFrame, texts: DataFrame, words: int = 6) -> Data
     pairs = rare.join(posted, "g").select("quote_id", "q", "doc_id")
     whole = texts.select(F.col("doc_id").alias("_doc"), body.alias("body"))
     found = pairs.join(whole, F.col("doc_id") == F.col("_doc")).filter(F.contains("body", "q")).select("quote_id", "doc_id")
-    # Quotes of one or two words have no whole word inside and are looked for in each text.
-    short = q.filter("size(inner) = 0").join(whole, F.contains("body", "q")).select("quote_id", F.col("_doc").alias("doc_id"))
-    return found.unionByName(short).distinct()
+    # Quotes of one or two words have no whole word inside; an automaton looks for a block of them in each text.
+    short = q.filter("size(inner) = 0").select("quote_id", "q")
+    blocks = -(-short.count() // MAX_SHORT)
+    for block in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == block)
+        found = found.unionByName(contained(own, whole))
+    return found.distinct()
+
+
+def contained(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(quote_id, doc_id) of a block of about MAX_SHORT quotes (quote_id, q) in texts (_doc, body), in one pass."""
+    id_type = quotes.schema["quote_id"].dataType
+    doc_type = bodies.schema["_doc"].dataType
+    of: dict[str, list] = {}
+    for r in quotes.collect():  # a block
+        of.setdefault(r.q, []).append(r.quote_id)
+    known = quotes.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for q in known.value:
+            automaton.add_word(q, q)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, docs = [], []
+            for doc, body in zip(batch.column("_doc").to_pylist(), batch.column("body").to_pylist()):
+                for q in {q for _, q in automaton.iter(body or "")}:
+                    ids += known.value[q]
+                    docs += [doc] * len(known.value[q])
+            yield pa.RecordBatch.from_pydict({"quote_id": ids, "doc_id": docs}, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    import pyarrow as pa
+
+    arrow = pa.schema([("quote_id", to_arrow_type(id_type)), ("doc_id", to_arrow_type(doc_type))])
+    return bodies.select("_doc", "body").mapInArrow(run, f"quote_id {id_type.simpleString()}, doc_id {doc_type.simpleString()}")
 
 
 def edge_chunks(edges: DataFrame, hits: DataFrame, node_chunks: DataFrame) -> DataFrame:
@@ -177,13 +240,16 @@ def edge_chunks(edges: DataFrame, hits: DataFrame, node_chunks: DataFrame) -> Da
 
 
 def node_provenance(refs: DataFrame, chunk_ref: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(node_id, chunk_ids, pages, table_ref, figure_ref) from nodes' refs (node_id, ord, self_ref)."""
-    rows = refs.join(chunk_ref.select("self_ref", "chunk_id"), "self_ref").join(chunks.select("chunk_id", "kind", "caption", "pages"), "chunk_id")
+    """(node_id, chunk_ids, pages, breadcrumb, table_ref, figure_ref) from nodes' refs (node_id, ord, self_ref)."""
+    if "headings" not in chunks.columns:
+        chunks = chunks.withColumn("headings", F.array().cast("array<string>"))
+    rows = refs.join(chunk_ref.select("self_ref", "chunk_id"), "self_ref").join(chunks.select("chunk_id", "kind", "caption", "pages", "headings"), "chunk_id")
     place = F.struct("ord", "chunk_id")
-    ref = F.trim(F.split_part(F.col("caption"), F.lit(":"), F.lit(1)))
+    ref = strip(F.split_part(F.col("caption"), F.lit(":"), F.lit(1)))
     return rows.groupBy("node_id").agg(
         F.array_distinct(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["chunk_id"])).alias("chunk_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"),
+        F.min_by("headings", F.when(F.size("headings") > 0, place)).alias("breadcrumb"),
         F.min_by(ref, F.when((F.col("kind") == "table") & F.col("caption").isNotNull(), place)).alias("table_ref"),
         F.min_by(ref, F.when((F.col("kind") == "picture") & F.col("caption").isNotNull(), place)).alias("figure_ref"),
     )

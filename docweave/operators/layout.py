@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.text import dehyphenate, furniture_key, squeeze
+from docweave.functions.text import dehyphenate, furniture_key, squeeze, strip
 
 BODY, FURNITURE = "BODY", "FURNITURE"
+#: Fixed value: the number of a numbered heading.
+NUMBERED = r"(?U)\A\s*(\d+(?:\.\d+)*)\.?\s+\S"
 TEXT_LABELS = ("text", "paragraph", "section_header", "caption", "list_item")
 #: How captions of tables and figures begin.
 TABLE_CAPTION = r"(?i)\A(?:tabelle|tab\.|table)\s*\d+"
@@ -36,7 +38,7 @@ def prefix_furniture(items: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     """Body items whose trimmed text starts with one of ``prefixes`` become furniture."""
     starts = F.lit(False)
     for p in prefixes:
-        starts = starts | F.trim("text").startswith(p)
+        starts = starts | strip(F.col("text")).startswith(p)
     return items.withColumn("layer", F.when((F.col("layer") == BODY) & starts, FURNITURE).otherwise(F.col("layer")))
 
 
@@ -67,7 +69,7 @@ def heading_levels(headings: DataFrame, partition: str = "doc_id", order: str =
     A numbered heading is as deep as its number; another is one below the last
     numbered one, 6 at most, or keeps its level where there is none yet.
     """
-    number = F.regexp_extract("text", r"(?U)\A\s*(\d+(?:\.\d+)*)\.?\s+\S", 1)
+    number = F.regexp_extract("text", NUMBERED, 1)
     numbered = F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
     so_far = W.partitionBy(partition).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     parent = F.last(numbered, ignorenulls=True).over(so_far)

@@ -39,13 +39,13 @@ def chunk_kind(spark, sf_dir):
 
 
 @query(
-    r"""WITH c AS (SELECT doc_id, source || ' ' || lang AS caption, CASE WHEN doc_id % 2 = 0 THEN source || '  ' || lang || ' ' || substr(text, 1, 30) ELSE substr(text, 1, 30) END AS body FROM documents)
+    r"""WITH c AS (SELECT doc_id, source || ' ' || lang AS caption, CASE WHEN doc_id % 2 = 0 THEN source || '  ' || lang || ' ' || text ELSE text END AS body FROM documents)
     SELECT doc_id, CASE WHEN starts_with(trim(regexp_replace(body, '[\s\p{Z}]+', ' ', 'g')), trim(regexp_replace(caption, '[\s\p{Z}]+', ' ', 'g'))) THEN body ELSE caption || chr(10) || body END AS body FROM c"""
 )
 def caption_prepend(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     caption = F.concat_ws(" ", "source", "lang")
-    begun = F.substring("text", 1, 30)
+    begun = F.col("text")
     body = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("  "), "lang", F.lit(" "), begun)).otherwise(begun)
     return d.select("doc_id", chunks.with_caption(body, caption).alias("body"))
 

@@ -180,7 +180,7 @@ def first_non_empty(spark, sf_dir):
     return line.groupBy("l_suppkey").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c) for c in "ab"])
 
 
-GROUND_KEY = "replace(lower(trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g'))), 'ß', 'ss')"
+GROUND_KEY = key_sql("{}").replace("{Z}", "{{Z}}")
 
 
 @query(f"SELECT DISTINCT item_id AS quote_id, doc_id FROM (SELECT item_id, {GROUND_KEY.format('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {GROUND_KEY.format('text')} AS body FROM documents) ON length(q) >= 12 AND contains(body, q)")
@@ -207,20 +207,19 @@ def quote_chunks(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT l_suppkey, 'c' || (l_orderkey % 50) AS chunk_id FROM lineitem WHERE l_linenumber = 1)
+    """WITH p AS (SELECT DISTINCT l_suppkey, 'c' || (l_orderkey % 50) AS chunk_id FROM lineitem)
     SELECT chunk_id, count(*) AS n_nodes, min('Supplier_' || l_suppkey) AS first_node FROM p GROUP BY chunk_id"""
 )
 def reverse_index(spark, sf_dir):
     from docweave.operators.retrieve import reverse_index as index
 
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    n = line.groupBy("l_suppkey").agg(F.collect_set(F.concat(F.lit("c"), (F.col("l_orderkey") % 50).cast("string"))).alias("chunk_ids")).select(F.concat(F.lit("Supplier_"), F.col("l_suppkey").cast("string")).alias("node_id"), "chunk_ids")
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.concat(F.lit("c"), (F.col("l_orderkey") % 50).cast("string"))).alias("chunk_ids")).select(F.concat(F.lit("Supplier_"), F.col("l_suppkey").cast("string")).alias("node_id"), "chunk_ids")
     return index(n).select("chunk_id", F.size("node_ids").cast("bigint").alias("n_nodes"), F.get("node_ids", F.lit(0)).alias("first_node"))
 
 
 PROVENANCE_SQL = """
-  WITH refs AS (SELECT DISTINCT l_suppkey AS node_id, l_partkey % 40 AS self_ref, min(l_orderkey) OVER (PARTITION BY l_suppkey, l_partkey % 40) AS ord FROM lineitem),
-  c AS (SELECT p_partkey % 40 AS self_ref, 'k' || lpad(p_partkey::VARCHAR, 6, '0') AS chunk_id, CASE p_size % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' ELSE 'text' END AS kind, CASE WHEN p_size % 2 = 0 THEN p_brand || ': ' || p_name END AS caption, p_size % 7 AS page FROM part WHERE p_partkey < 200),
+  WITH refs AS (SELECT DISTINCT l_suppkey AS node_id, l_partkey AS self_ref, min(l_orderkey) OVER (PARTITION BY l_suppkey, l_partkey) AS ord FROM lineitem),
+  c AS (SELECT p_partkey AS self_ref, 'k' || lpad(p_partkey::VARCHAR, 6, '0') AS chunk_id, CASE p_size % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' ELSE 'text' END AS kind, CASE WHEN p_size % 2 = 0 THEN p_brand || ': ' || p_name END AS caption, p_size % 7 AS page FROM part),
   j AS (SELECT *, trim(split_part(caption, ':', 1)) AS ref, row(ord, chunk_id) AS place FROM refs JOIN c USING (self_ref))"""
 
 
@@ -229,10 +228,10 @@ PROVENANCE_SQL = """
       arg_min(ref, place) FILTER (kind = 'table' AND caption IS NOT NULL) AS table_ref, arg_min(ref, place) FILTER (kind = 'picture' AND caption IS NOT NULL) AS figure_ref FROM j GROUP BY node_id"""
 )
 def node_provenance(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node_id"), (F.col("l_partkey") % 40).alias("self_ref")).agg(F.min("l_orderkey").alias("ord"))
-    p = table(spark, sf_dir, "part").filter("p_partkey < 200")
+    refs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node_id"), F.col("l_partkey").alias("self_ref")).agg(F.min("l_orderkey").alias("ord"))
+    p = table(spark, sf_dir, "part")
     chunk_id = F.concat(F.lit("k"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
-    ref = p.select((F.col("p_partkey") % 40).alias("self_ref"), chunk_id.alias("chunk_id"))
+    ref = p.select(F.col("p_partkey").alias("self_ref"), chunk_id.alias("chunk_id"))
     kind = F.when(F.col("p_size") % 3 == 0, "table").when(F.col("p_size") % 3 == 1, "picture").otherwise("text")
     c = p.select(chunk_id.alias("chunk_id"), kind.alias("kind"), F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(": "), "p_name")).alias("caption"), F.array(F.col("p_size") % 7).alias("pages"))
     out = graph.node_provenance(refs, ref, c)
@@ -246,3 +245,57 @@ def node_search(spark, sf_dir):
     from docweave.operators.retrieve import search
 
     return search(nodes(spark, sf_dir), "an", ["label", "node_id"]).select("class", "node_id", "label")
+
+
+#: The order tables as an extractor's output: suppliers name the parts that they supply, some of which do not exist.
+LINK_ROWS = """SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_quantity, l_partkey, l_returnflag, l_extendedprice, l_discount) AS link_ord, l_partkey,
+  CASE WHEN l_partkey % 7 = 0 THEN 'ghost ' ELSE 'PART  ' END || l_partkey || '.' AS target, CASE l_returnflag WHEN 'R' THEN 'nein' WHEN 'A' THEN 'ja' END AS stated,
+  CASE WHEN l_linenumber = 1 THEN 'ohne Bezug ' || l_orderkey END AS quote FROM lineitem"""
+
+
+def graph_plan(spark, sf_dir):
+    from docweave.plans import ontology
+    from docweave.plans.materialize import materialize_graph
+
+    o = ontology.parse({
+        "meta": {"name": "trade", "version": "1"},
+        "classes": {"Supplier": {"description": "who supplies"}, "Part": {"description": "what is supplied", "fields": {"size": "int"}}},
+        "relations": [{"name": "SUPPLIES", "source": "Supplier", "target": "Part", "properties": {"line": "int"}}],
+    })
+    t = lambda name: table(spark, sf_dir, name)
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    doc = F.lit("trade").alias("doc_id")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def raw(rows, cls, key, fields):
+        return rows.select(doc, F.col(key).cast("int").alias("node_ord"), text(f"{cls}_", key).alias("node_id"), F.lit(cls).alias("class"), fields.alias("fields"), none("array<string>").alias("aliases"), none("array<struct<id:string,label:string>>").alias("merged"), none("array<int>").alias("pages"), none("array<string>").alias("refs"), none("string").alias("match"))
+
+    suppliers = raw(t("supplier"), "Supplier", "s_suppkey", F.create_map(F.lit("label"), F.col("s_name")))
+    parts = raw(t("part"), "Part", "p_partkey", F.create_map(F.lit("label"), text("Part ", "p_partkey"), F.lit("size"), F.col("p_size").cast("string")))
+    instances = suppliers.select("doc_id", F.col("node_ord").alias("inst_ord"), "node_id", "class", "fields")
+    rows = spark.sql(LINK_ROWS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t("lineitem"))
+    links = rows.select(
+        doc, text("Supplier_", "l_suppkey").alias("node_id"), F.col("l_suppkey").cast("int").alias("inst_ord"), F.lit(0).alias("field_ord"), "link_ord", F.lit("SUPPLIES").alias("relation"), none("string").alias("target_type"),
+        "target", F.col("stated").alias("polarity"), none("string").alias("qualifier"), "quote", F.create_map(F.lit("line"), F.col("l_linenumber").cast("string")).alias("props"),
+    )
+    chunks = spark.createDataFrame([], "doc_id string, chunk_id string, kind string, headings array<string>, body string, caption string, pages array<int>")
+    return materialize_graph(o, suppliers.unionByName(parts), instances, links, chunks, spark.createDataFrame([], "doc_id string, self_ref string, chunk_id string"))
+
+
+GRAPH_SQL = f"""WITH l AS (SELECT *, 'Supplier_' || l_suppkey AS source, 'Part_' || l_partkey AS part, CASE WHEN stated = 'nein' THEN 'negative' WHEN stated = 'ja' OR quote IS NULL THEN 'positive' ELSE 'unknown' END AS polarity FROM ({LINK_ROWS}))"""
+
+
+@query(GRAPH_SQL + " SELECT source, part AS target, 'SUPPLIES' AS type, polarity, arg_min(quote, link_ord) FILTER (quote IS NOT NULL) AS quote, arg_min(l_linenumber, link_ord)::VARCHAR AS line FROM l WHERE l_partkey % 7 <> 0 GROUP BY ALL")
+def graph_edges(spark, sf_dir):
+    """The edges of the whole plan: sources, polarity, targets, properties, merging, grounding."""
+    return graph_plan(spark, sf_dir)["edges"].select("source", "target", "type", "polarity", "quote", F.col("properties")["line"].alias("line"))
+
+
+@query(GRAPH_SQL + " SELECT source, 'SUPPLIES' AS type, rtrim(target) AS target, polarity, count(*) AS links FROM l WHERE l_partkey % 7 = 0 GROUP BY ALL")
+def graph_unresolved(spark, sf_dir):
+    return graph_plan(spark, sf_dir)["unresolved"].groupBy("source", "type", "target", "polarity").agg(F.count("*").alias("links"))
+
+
+@query("SELECT 'Supplier_' || s_suppkey AS node_id, 'Supplier' AS class, s_name AS label, NULL::VARCHAR AS size FROM supplier UNION ALL SELECT 'Part_' || p_partkey, 'Part', 'Part ' || p_partkey, p_size::VARCHAR FROM part")
+def graph_plan_nodes(spark, sf_dir):
+    return graph_plan(spark, sf_dir)["nodes"].select("node_id", "class", "label", F.col("attributes")["size"].alias("size"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import furniture_key
 from docweave.operators import layout
+from docweave.operators.joins import broadcast_if_small
 from docweave.queries.registry import query, table
-from docweave.queries.value_queries import LINES, furniture_sql, lines
+from docweave.queries.value_queries import LINES, furniture_sql, lines, strip_sql
 
 KEYS = f"SELECT doc_id, ln, line, {furniture_sql('line')} AS key FROM ({LINES})"
 REPEATED = f"SELECT key, count(DISTINCT doc_id) AS pages FROM ({KEYS}) WHERE length(key) >= 4 GROUP BY key HAVING count(DISTINCT doc_id) >= 3"
@@ -27,7 +28,7 @@ def furniture_key_counts(spark, sf_dir):
 @query(f"SELECT k.doc_id, k.ln, k.key FROM ({KEYS}) k SEMI JOIN ({REPEATED}) r ON k.key = r.key")
 def repeated_furniture(spark, sf_dir):
     rows = lines(spark, sf_dir).select("doc_id", "ln", furniture_key(F.col("line")).alias("key"))
-    return rows.join(repeated(spark, sf_dir).select("key"), "key", "left_semi")
+    return rows.join(broadcast_if_small(repeated(spark, sf_dir).select("key")), "key", "left_semi")
 
 
 @query(
@@ -37,7 +38,7 @@ def repeated_furniture(spark, sf_dir):
 def furniture_stripped_docs(spark, sf_dir):
     """The flagship: documents without repeated furniture."""
     rows = lines(spark, sf_dir).select("doc_id", F.length("line").alias("len"), furniture_key(F.col("line")).alias("key"))
-    joined = rows.join(repeated(spark, sf_dir).select("key", F.lit(True).alias("moved")), "key", "left")
+    joined = rows.join(broadcast_if_small(repeated(spark, sf_dir).select("key", F.lit(True).alias("moved"))), "key", "left")
     return joined.groupBy("doc_id").agg(
         F.count_if(F.col("moved").isNull()).alias("kept_lines"),
         F.count_if(F.col("moved").isNotNull()).alias("moved_lines"),
@@ -48,7 +49,7 @@ def furniture_stripped_docs(spark, sf_dir):
 PREFIXES = ("The ", "Und", "In ", "###")
 
 
-@query(f"SELECT doc_id, count_if({' OR '.join(f'''starts_with(trim(line), '{p}')''' for p in PREFIXES)})::BIGINT AS furniture, count(*) AS items FROM ({LINES}) GROUP BY doc_id")
+@query(f"SELECT doc_id, count_if({' OR '.join(f'''starts_with({strip_sql('line')}, '{p}')''' for p in PREFIXES)})::BIGINT AS furniture, count(*) AS items FROM ({LINES}) GROUP BY doc_id")
 def prefix_furniture(spark, sf_dir):
     items = lines(spark, sf_dir).select("doc_id", F.col("line").alias("text"), F.lit("BODY").alias("layer"))
     moved = layout.prefix_furniture(items, PREFIXES)
@@ -112,7 +113,7 @@ def breadcrumb(spark, sf_dir):
     return layout.breadcrumbs(c).select(F.col("doc_id").alias("conv_id"), F.col("pos").alias("turn"), F.array_join("breadcrumb", " > ").alias("crumb"))
 
 
-CAPTION_TEXT = "CASE WHEN (conv_id + turn) % 4 = 0 THEN 'Tabelle ' || turn || ': ' || substr(text, 1, 20) ELSE text END"
+CAPTION_TEXT = "CASE WHEN (conv_id + turn) % 4 = 0 THEN 'Tabelle ' || turn || ': ' || role ELSE text END"
 
 
 @query(

@@ -14,6 +14,10 @@ def squeeze_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
 def fold_sql(x: str) -> str:
     return f"replace(lower({x}), 'ß', 'ss')"
 
@@ -71,10 +75,10 @@ def evidence_strings(spark, sf_dir):
     return c.select("conv_id", "turn", text.evidence(F.col("role"), F.col("text")).alias("evidence"), text.caption_reference(F.col("text")).alias("reference"))
 
 
-@query("SELECT doc_id, lang || chr(10) || source || chr(10) || substr(text, 1, 80) AS context FROM documents")
+@query("SELECT doc_id, lang || chr(10) || source || chr(10) || text AS context FROM documents")
 def contextualize(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.contextualize(F.array("lang", "source"), F.substring("text", 1, 80)).alias("context"))
+    return d.select("doc_id", text.contextualize(F.array("lang", "source"), F.col("text")).alias("context"))
 
 
 NUMBERS_SQL = r"""
@@ -101,13 +105,13 @@ def raw_numbers(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
 
 
-@query(NUMBERS_SQL + "SELECT id, round(n, 4) AS number, CASE WHEN n IS NULL THEN 'not a number' END AS problem FROM v")
+@query(NUMBERS_SQL + "SELECT id, round(n, 4) AS number, CASE WHEN n IS NULL THEN 'no number' END AS problem FROM v")
 def number_parse(spark, sf_dir):
     raw = F.col("raw")
     return raw_numbers(spark, sf_dir).select("id", F.round(values.number(raw), 4).alias("number"), values.as_float(raw)["problem"].alias("problem"))
 
 
-@query(NUMBERS_SQL + "SELECT id, CASE WHEN n IS NULL THEN raw ELSE trunc(n)::BIGINT::VARCHAR END AS value, CASE WHEN n IS NULL THEN 'not an integer' END AS problem FROM v")
+@query(NUMBERS_SQL + "SELECT id, CASE WHEN n IS NULL THEN raw ELSE trunc(n)::BIGINT::VARCHAR END AS value, CASE WHEN n IS NULL THEN 'no whole number' END AS problem FROM v")
 def int_normalize(spark, sf_dir):
     return raw_numbers(spark, sf_dir).select("id", values.as_int(F.col("raw")).alias("r")).select("id", "r.value", "r.problem")
 
@@ -116,22 +120,22 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 
 
 @query(
-    "WITH raw AS (SELECT o_orderkey AS id, ' ' || lower(o_orderpriority) || ' ' AS raw FROM orders), "
+    "WITH raw AS (SELECT o_orderkey AS id, chr(9) || lower(o_orderpriority) || ' ' || chr(10) AS raw FROM orders), "
     "a(v) AS (VALUES " + ", ".join(f"('{p}')" for p in PRIORITIES) + ") "
-    "SELECT id, coalesce(v, trim(raw)) AS value, v IS NULL AS violated FROM raw LEFT JOIN a ON lower(trim(raw)) = lower(v)"
+    f"SELECT id, coalesce(v, {strip_sql('raw')}) AS value, v IS NULL AS violated FROM raw LEFT JOIN a ON lower({strip_sql('raw')}) = lower(v)"
 )
 def enum_normalize(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit(" ")).alias("raw"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("\t"), F.lower("o_orderpriority"), F.lit(" \n")).alias("raw"))
     return o.select("id", values.as_enum(F.col("raw"), PRIORITIES).alias("r")).select("id", "r.value", F.col("r.problem").isNotNull().alias("violated"))
 
 
-BOOL_RAW = "CASE event_id % 6 WHEN 0 THEN 'Ja' WHEN 1 THEN ' nein ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' WHEN 4 THEN 'falsch' ELSE event_type END"
+BOOL_RAW = "CASE event_id % 6 WHEN 0 THEN concat(chr(9), 'Ja', chr(10)) WHEN 1 THEN ' nein ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' WHEN 4 THEN 'falsch' ELSE event_type END"
 
 
 @query(
-    f"WITH raw AS (SELECT event_id, {BOOL_RAW} AS raw FROM events), t AS (SELECT *, CASE WHEN lower(trim(raw)) IN ('true','ja','yes','wahr','1') THEN 'true' "
-    "WHEN lower(trim(raw)) IN ('false','nein','no','falsch','0') THEN 'false' END AS b FROM raw) "
-    "SELECT event_id, coalesce(b, raw) AS value, CASE WHEN b IS NULL THEN 'not a boolean' END AS problem FROM t"
+    f"WITH raw AS (SELECT event_id, {BOOL_RAW} AS raw FROM events), t AS (SELECT *, CASE WHEN lower({strip_sql('raw')}) IN ('true','ja','yes','wahr','1') THEN 'true' "
+    f"WHEN lower({strip_sql('raw')}) IN ('false','nein','no','falsch','0') THEN 'false' END AS b FROM raw) "
+    "SELECT event_id, coalesce(b, raw) AS value, CASE WHEN b IS NULL THEN 'no truth value' END AS problem FROM t"
 )
 def bool_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.expr(BOOL_RAW).alias("raw"))
@@ -140,16 +144,17 @@ def bool_normalize(spark, sf_dir):
 
 @query(
     r"""WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate)
-      WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y/%m/%d') END AS raw FROM orders),
-    m AS (SELECT id, raw, regexp_extract(raw, '^(\d{1,2})\.(\d{1,2})\.(\d{4})$', ['d', 'm', 'y']) AS g FROM raw)
+      WHEN 1 THEN chr(9) || strftime(o_orderdate, '%Y-%m-%d') || chr(10) ELSE strftime(o_orderdate, '%Y/%m/%d') END AS raw FROM orders),
+    n AS (SELECT id, trim(raw, chr(9) || chr(10) || ' ') AS raw FROM raw),
+    m AS (SELECT id, raw, regexp_extract(raw, '^(\d{1,2})\.(\d{1,2})\.(\d{4})$', ['d', 'm', 'y']) AS g FROM n)
     SELECT id, CASE WHEN g.y <> '' THEN g.y || '-' || lpad(g.m, 2, '0') || '-' || lpad(g.d, 2, '0') ELSE raw END AS value,
-      CASE WHEN g.y = '' AND NOT regexp_full_match(raw, '\d{4}-\d{2}-\d{2}') THEN 'unrecognized date format' END AS problem FROM m"""
+      CASE WHEN g.y = '' AND NOT regexp_full_match(raw, '\d{4}-\d{2}-\d{2}') THEN 'no date in a known form' END AS problem FROM m"""
 )
 def date_normalize(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
     k = F.col("o_orderkey") % 3
-    raw = F.when(k == 0, F.concat_ws(".", F.day(d).cast("string"), F.month(d).cast("string"), F.year(d).cast("string"))).when(k == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy/MM/dd"))
+    raw = F.when(k == 0, F.concat_ws(".", F.day(d).cast("string"), F.month(d).cast("string"), F.year(d).cast("string"))).when(k == 1, F.concat(F.lit("\t"), F.date_format(d, "yyyy-MM-dd"), F.lit("\n"))).otherwise(F.date_format(d, "yyyy/MM/dd"))
     return o.select(F.col("o_orderkey").alias("id"), values.as_date(raw).alias("r")).select("id", "r.value", "r.problem")
 
 
@@ -160,13 +165,14 @@ def pattern_violations(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, unnest(string_split(substr(text, 1, 60), ' ')) AS w FROM documents)
-    SELECT doc_id, count_if(regexp_full_match(w, '[+-]?\d+'))::BIGINT AS n_values_ok, count_if(NOT regexp_full_match(w, '[+-]?\d+'))::BIGINT AS n_problems FROM
-      (SELECT doc_id, replace(regexp_replace(w, '[ %]', '', 'g'), ',', '.') AS w FROM t) GROUP BY doc_id"""
+    rf"""WITH t AS (SELECT doc_id, regexp_replace({strip_sql('w')}, '[ %]', '', 'g') AS w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)),
+    n AS (SELECT doc_id, {strip_sql("CASE WHEN contains(w, ',') AND contains(w, '.') THEN replace(replace(w, '.', ''), ',', '.') ELSE replace(w, ',', '.') END")} AS w FROM t),
+    v AS (SELECT doc_id, regexp_full_match(w, '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') AND abs(TRY_CAST(w AS DOUBLE)) < 9.2e18 AS good FROM n)
+    SELECT doc_id, count_if(good)::BIGINT AS n_values_ok, count_if(good IS DISTINCT FROM true)::BIGINT AS n_problems FROM v GROUP BY doc_id"""
 )
 def list_values(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    r = d.select("doc_id", values.read_list(F.split(F.substring("text", 1, 60), " "), "int").alias("r"))
+    r = d.select("doc_id", values.read_list(F.split("text", " "), "int").alias("r"))
     return r.select("doc_id", (F.size("r.values") - F.size("r.problems")).cast("bigint").alias("n_values_ok"), F.size("r.problems").cast("bigint").alias("n_problems"))
 
 

@@ -24,10 +24,10 @@ def test_numbers(spark, raw, number):
 
 def test_readers_keep_what_they_cannot_read(spark):
     read = lambda raw, f: [tuple(r) for r in column(spark, raw, f)]
-    assert read(["-2,7", "x", None], values.as_int) == [("-2", None), ("x", "not an integer"), (None, None)]
-    assert read(["31.2.2024", "2024-02-31", "soon"], values.as_date) == [("2024-02-31", None), ("2024-02-31", None), ("soon", "unrecognized date format")]
-    assert read([" Ja", "falsch", "2"], values.as_bool) == [("true", None), ("false", None), ("2", "not a boolean")]
-    assert read(["HIGH ", "?"], lambda x: values.as_enum(x, ["low", "high"])) == [("high", None), ("?", "not in ['low', 'high']")]
+    assert read(["-2,7", "x", None], values.as_int) == [("-2", None), ("x", "no whole number"), (None, None)]
+    assert read(["31.2.2024", "\t2024-02-31\n", "soon"], values.as_date) == [("2024-02-31", None), ("2024-02-31", None), ("soon", "no date in a known form")]
+    assert read(["\tJa\n", "falsch", "2"], values.as_bool) == [("true", None), ("false", None), ("2", "no truth value")]
+    assert read(["HIGH ", "?"], lambda x: values.as_enum(x, ["low", "high"])) == [("high", None), ("?", "none of the values ['low', 'high']")]
     assert read(["T-1", "T-1\nx"], lambda x: values.as_text(x, r"T-\d+"))[1][1] is not None
 
 
