@@ -8,24 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared checkpoint folder (tests, local runs).
-LOCAL_SHARED = "/tmp/checkpoints/docweave"
+from docweave.sources.scratch import settled, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again.
-
-    This cuts lineage at a copy that survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialize = settled
 
 
 def scratch(name: str) -> str:
