@@ -1,43 +1,53 @@
 """Toxicity from the nearest labelled examples.
 
-A text's features are its words (letters only, lower case), the beginnings of
-its words, and each of these once more if it occurs repeatedly.  From a bounded sample of labelled documents come the features
-that go with the label more often than chance allows; inverse document
-frequencies of these come from all documents.  A document's TF-IDF vector over
-them is compared with those of the labelled examples by exact cosine, through
-an inverted index whose postings are cut into blocks with maximum weights, so
-that blocks that cannot reach the k best are skipped.  Votes weighted by
-closeness, with a prior from the sample, give the score; the nearest examples
-and the strongest features are the evidence.
-
-Null and empty texts, and texts without such features, get the smoothed share
-of toxic ones among examples without them.  Without any usable label each score
-is 0.5.  Repeated label rows of a document count once, as toxic if any is.
-Equal texts get equal scores.  Only doc_id and text are read for a score.
+A text's terms are its words (letters only, lower case).  A bounded sample of
+labelled documents tells which features, among words, beginnings of words and
+each of these met repeatedly, go with either label more often than chance
+allows; such features are terms too.  The vocabulary is all words of the indexed
+examples and all of these features; document frequencies come from all
+documents.  A term weighs (1 + ln tf) * idf, times its relevance, which is 1 for
+words that go with neither label and grows with the log-likelihood ratio for
+others, so that a few telling words outweigh a long text about anything.
+
+Each document is compared with the indexed examples, toxic and clean ones, by
+exact cosine, through an inverted index whose postings are cut into blocks with
+maximum weights: blocks that cannot reach the k best are skipped.  Votes
+weighted by closeness, with a prior from the sample, and a logistic curve fitted
+to examples that are left out in turn, give the score; the nearest examples and
+the strongest terms are the evidence.
+
+Null and empty texts, and texts without a known term, get the smoothed share of
+toxic ones among examples without terms.  Without any usable label each score
+is 0.5.  Repeated label rows of a document count once, as toxic if any is; of
+several texts with one labelled id the least is the example.  Equal texts get
+equal scores.  Only doc_id and text are read for a score.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import materialize, without_ids
 
-#: Labelled documents that are examples, at most; the choice is by a hash of doc_id.
+#: Labelled documents that tell relevance, at most; the choice is by a hash of doc_id.
 MAX_EXAMPLES = 20_000
-#: Features in the vocabulary, at most.
-MAX_FEATURES = 4_096
+#: Examples of each label in the index, at most.
+MAX_INDEXED = 2_000
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Log-likelihood ratio from which on a feature goes with a label; chance reaches it once in ten thousand.
+RELEVANT = 16.0
 #: Examples in a block of the inverted index.
 BLOCK = 128
 NEAREST = 15
-#: Examples that the calibration leaves out in turn, at most.
+#: Examples that the calibration scores, at most.
 MAX_CALIBRATION = 3_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -94,9 +104,9 @@ def presence(examples: DataFrame) -> DataFrame:
     return examples.select("text", "toxic").mapInArrow(run, "feature string, a bigint, b bigint")
 
 
-def vocabulary(examples: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_FEATURES) -> list[str]:
-    """Features that go with toxic examples beyond chance, by the log-likelihood ratio, strongest first."""
-    counts = presence(examples).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 4")
+def relevance(examples: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Features that go with either label beyond chance, and 1 + the root of their log-likelihood ratio."""
+    counts = presence(examples).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n1, n0 = float(max(n_toxic, 1)), float(max(n_clean, 1))
     share = (F.col("a") + F.col("b")) / (n1 + n0)
 
@@ -104,63 +114,104 @@ def vocabulary(examples: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
 
     ratio = 2 * (part(F.col("a"), share * n1) + part(F.col("b"), share * n0) + part(n1 - F.col("a"), (1 - share) * n1) + part(n0 - F.col("b"), (1 - share) * n0))
-    # 16 leaves about one chance feature in ten thousand; their inverse frequencies and the votes weigh the rest.
-    kept = counts.withColumn("ratio", ratio).filter((F.col("ratio") >= 16) & ((F.col("a") / n1) >= 4 * (F.col("b") / n0)))
-    return [r.feature for r in kept.orderBy(F.desc("ratio"), "feature").limit(limit).collect()]
+    # The rows are features of at most MAX_EXAMPLES documents that pass; a toxic lean of next to nothing is none.
+    apart = F.greatest(F.col("a") / n1, F.col("b") / n0) >= 4 * F.least(F.col("a") / n1, F.col("b") / n0)
+    kept = counts.withColumn("ratio", ratio).filter((F.col("ratio") >= RELEVANT) & apart)
+    return {r.feature: 1.0 + r.ratio**0.5 for r in kept.select("feature", "ratio").collect()}
+
+
+def indexed_words(indexed: DataFrame) -> list[str]:
+    """All words of the indexed examples, as features."""
+
+    def run(batches):
+        own: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                own.update(words(text))
+        yield pa.RecordBatch.from_arrays([pa.array([w + "$" for w in own], pa.string())], ["feature"])
+
+    return [r.feature for r in indexed.select("text").mapInArrow(run, "feature string").distinct().collect()]
 
 
 def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
     """(doc_id, features, counts): each whole text's features in the vocabulary and how often they occur."""
-    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(vocab)})
-    used = {f.removesuffix("#2") for f in vocab}
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        index, known = shared.value, {}
+        index, known = {f: i for i, f in enumerate(shared.value)}, {}
+        used = {f.removesuffix("#2") for f in index if not f.endswith("$")}
+        again = {f.removesuffix("#2") for f in index if f.endswith("#2")}
         for batch in batches:
-            ids, counts = [], []
+            ids, counts, cuts = [], [], [0]
             for text in batch.column("text").to_pylist():
-                own: Counter = Counter()
+                own: dict[str, int] = {}
                 for w, n in Counter(words(text)).items():
                     if (got := known.get(w)) is None:
-                        if len(known) > 200_000:
+                        if len(known) > 100_000:
                             known.clear()
-                        got = known[w] = tuple(f for f in features(w) if f in used)
+                        word = w + "$"
+                        got = known[w] = ((word,) if word in index else ()) + tuple(w[:k] for k in BEGINNINGS if w[:k] in used and len(w) >= k)
                     for f in got:
-                        own[f] += n
-                pairs = sorted([(index[f], n) for f, n in own.items() if f in index] + [(index[g], n - 1) for f, n in own.items() if n > 1 and (g := repeated(f)) in index])
-                ids.append([i for i, _ in pairs])
-                counts.append([n for _, n in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "features", "counts"])
+                        own[f] = own.get(f, 0) + n
+                pairs = [(index[f], n) for f, n in own.items() if f in index]
+                pairs += [(index[f + "#2"], n - 1) for f, n in own.items() if n > 1 and f in again]
+                pairs.sort()
+                ids += [i for i, _ in pairs]
+                counts += [n for _, n in pairs]
+                cuts.append(len(ids))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (ids, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "features", "counts"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, features array<int>, counts array<int>")
 
 
-def weigh(ids, counts, idf: np.ndarray):
+def frequencies(sparse: DataFrame, n: int) -> np.ndarray:
+    """In how many documents each of ``n`` features occurs; a task adds up its own before any row leaves it."""
+
+    def run(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("features").flatten().to_numpy(), minlength=n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["f", "n"])
+
+    df = np.zeros(n)
+    for r in sparse.select("features").mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row for each feature at most
+        df[r.f] = r.n
+    return df
+
+
+def weigh(ids, counts, weight: np.ndarray):
     ids = np.asarray(ids, np.int64)
-    w = (1 + np.log(np.asarray(counts, np.float64))) * idf[ids] if len(ids) else np.zeros(0)
+    w = (1 + np.log(np.asarray(counts, np.float64))) * weight[ids] if len(ids) else np.zeros(0)
     return ids, w / (np.linalg.norm(w) or 1.0)
 
 
 class BlockMaxIndex:
-    """Exact k nearest examples by cosine; blocks that cannot reach them are skipped."""
+    """Exact k nearest examples by cosine; blocks that cannot reach them are skipped.
 
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
-        self.idf = idf
-        weighed = [(doc, toxic, *weigh(ids, counts, idf)) for doc, toxic, ids, counts in examples if len(ids)]
+    ``examples`` are (doc_id, toxic, features, counts); ``weight`` is each feature's idf times its relevance.
+    """
+
+    def __init__(self, examples: list, weight: np.ndarray):
+        self.weight = weight
+        weighed = [(doc, toxic, *weigh(ids, counts, weight)) for doc, toxic, ids, counts in examples if len(ids)]
         weighed.sort(key=lambda x: (int(x[2][np.argmax(x[3])]), x[0]))  # alike examples share blocks
         self.ids = np.array([x[0] for x in weighed], np.int64)
         self.toxic = np.array([x[1] for x in weighed], np.float64)
         self.blocks = -(-len(weighed) // BLOCK)
-        per: list[list] = [[] for _ in idf]
-        for at, (_, _, ids, ws) in enumerate(weighed):
-            for i, w in zip(ids, ws):
-                per[i].append((at, w))
-        self.postings = [(np.array([a for a, _ in p], np.int64), np.array([w for _, w in p])) for p in per]
-        self.starts = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a, _ in self.postings]
-        self.most = np.zeros((len(idf), self.blocks), np.float32)
-        for i, (a, w) in enumerate(self.postings):
-            np.maximum.at(self.most[i], a // BLOCK, w)
-        self.most = np.nextafter(self.most, np.float32(2)) * (self.most > 0)  # bounds stay above after rounding
+        term = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in weighed)])
+        place = np.repeat(np.arange(len(weighed)), [len(x[2]) for x in weighed])
+        ws = np.concatenate([np.zeros(0), *(x[3] for x in weighed)])
+        order = np.lexsort((place, term))
+        self.at, self.w = place[order].astype(np.int32), ws[order]
+        block = term[order] * max(self.blocks, 1) + self.at // BLOCK
+        cells = len(weight) * max(self.blocks, 1)
+        # Postings of a term in a block are those between two neighbouring starts.
+        self.starts = np.searchsorted(block, np.arange(cells + 1)).astype(np.int32)
+        most = np.zeros(cells, np.float32)
+        np.maximum.at(most, block, self.w.astype(np.float32))
+        self.most = (np.nextafter(most, np.float32(2)) * (most > 0)).reshape(len(weight), max(self.blocks, 1))  # bounds stay above after rounding
         no = [t for _, t, ids, _ in examples if not len(ids)]
         self.n = len(examples)
         self.prior = sum(t for _, t, _, _ in examples) / self.n if self.n else 0.5
@@ -168,36 +219,51 @@ class BlockMaxIndex:
         self.curve = 1.0, 0.0
         self.cache: dict = {}
 
+    def scores(self, ids: np.ndarray, ws: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with all examples of ``blocks``; 0 elsewhere."""
+        cell = ids[:, None] * self.blocks + blocks[None, :]
+        low, n = self.starts[cell].ravel(), (self.starts[cell + 1] - self.starts[cell]).ravel()
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        postings = np.arange(total) + np.repeat(low - (ends - n), n)
+        return np.bincount(self.at[postings], np.repeat(np.repeat(ws, len(blocks)), n) * self.w[postings], len(self.ids))
+
     def nearest(self, ids, ws, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest, nearest first, ties by place; ``without`` leaves out one place."""
-        bounds = ws @ self.most[ids] if len(ids) else np.zeros(self.blocks)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-9 < -best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for i, w in zip(ids, ws):
-                s, e = self.starts[i][b], self.starts[i][b + 1]
-                score[self.postings[i][0][s:e] - b * BLOCK] += w * self.postings[i][1][s:e]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hit = np.flatnonzero(score)
-            best = sorted([*best, *((-round(float(score[h]), 12), int(b * BLOCK + h)) for h in hit)])[:k]
-        return [(-c, at) for c, at in best]
+        if not len(ids) or not self.blocks:
+            return []
+        bounds = ws @ self.most[ids]
+        order = np.argsort(-bounds, kind="stable")
+
+        def best(blocks):
+            score = np.round(self.scores(ids, ws, np.sort(blocks)), 12)
+            if without >= 0:
+                score[without] = 0
+            hit = np.flatnonzero(score > 0)
+            return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[: k]]), score
+
+        first = order[: max(2, -(-k // BLOCK))]
+        found, score = best(first)
+        least = -found[k - 1][0] if len(found) >= k else 0.0
+        rest = order[len(first) :]
+        rest = rest[(bounds[rest] > 0) & (bounds[rest] + 1e-6 >= least)]
+        if len(rest):
+            found = sorted([*found, *best(rest)[0]])[:k]
+        return [(-c, at) for c, at in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Log odds of votes weighted by the cosine's fourth power, with a quarter of a vote for the prior."""
+        """Log odds of votes weighted by the cosine's fourth power, with a small vote for the prior."""
         votes = np.array([c**4 for c, _ in near])
         toxic = self.toxic[[at for _, at in near]] if near else np.zeros(0)
-        p = (float(votes @ toxic) + self.prior * 0.25) / (float(votes.sum()) + 0.25)
+        extra = 0.25 * float(votes.max(initial=0.0)) + 1e-9
+        p = (float(votes @ toxic) + self.prior * extra) / (float(votes.sum()) + extra)
         return float(np.log(p / (1 - p))) if 0 < p < 1 else 0.0
 
-    def calibrate(self, examples: list, k: int = NEAREST, limit: int = MAX_CALIBRATION) -> None:
-        """Fits a logistic curve to votes on examples that are left out in turn."""
+    def calibrate(self, examples: list, k: int = NEAREST) -> None:
+        """Fits a logistic curve to votes on (doc_id, toxic, features, counts); an indexed example does not vote on itself."""
         place = {int(doc): at for at, doc in enumerate(self.ids)}
         some = [e for e in examples if len(e[2])]
-        some = some[:: max(1, -(-len(some) // limit))]
-        x = np.array([self.vote(self.nearest(*weigh(ids, counts, self.idf), k, place[doc])) for doc, _, ids, counts in some])
+        x = np.array([self.vote(self.nearest(*weigh(ids, counts, self.weight), k, place.get(doc, -1))) for doc, _, ids, counts in some])
         y = np.array([toxic for _, toxic, _, _ in some], np.float64)
         if not 0 < y.sum() < len(y):
             return
@@ -217,46 +283,60 @@ class BlockMaxIndex:
             return 0.5, []
         if not len(ids):
             return self.bare, []
-        key = (tuple(ids), tuple(counts))
+        key = (np.asarray(ids, np.int32).tobytes(), np.asarray(counts, np.int32).tobytes())
         if key not in self.cache:
-            if len(self.cache) > 100_000:
+            if len(self.cache) > 2_000:
                 self.cache.clear()
-            near = self.nearest(*weigh(ids, counts, self.idf), k)
-            odds = min(30.0, max(-30.0, self.curve[0] * self.vote(near) + self.curve[1]))
+            near = self.nearest(*weigh(ids, counts, self.weight), k)
+            odds = min(30.0, max(-30.0, self.curve[0] * self.vote(near) + self.curve[1])) if near else math.log(self.bare / (1 - self.bare)) if 0 < self.bare < 1 else 0.0
             self.cache[key] = float(1 / (1 + np.exp(-odds))), [int(self.ids[at]) for _, at in near[:3]]
         return self.cache[key]
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> DataFrame:
-    """One row for each document: doc_id, score, evidence_ids (nearest examples), evidence (its strongest features)."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_indexed: int = MAX_INDEXED) -> tuple[BlockMaxIndex, list[str], DataFrame]:
+    """The index, its vocabulary, and the vectors of all documents."""
     chosen = materialize(sample(labels, max_examples), "toxicity-sample")
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     # At most max_examples ids are broadcast.
     of = F.broadcast(chosen.withColumnRenamed("doc_id", "of"))
-    examples = docs.select("doc_id", "text").join(of, F.col("doc_id") == F.col("of"))
-    vocab = vocabulary(examples, totals.toxic, totals.n - totals.toxic, max_features) if totals.toxic else []
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(of, F.col("doc_id") == F.col("of"))
+    examples = materialize(labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-examples")
+    by_hash = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))  # of at most max_examples rows
+    placed = materialize(examples.select("doc_id", "text", "toxic", by_hash.alias("place")), "toxicity-placed")
+    indexed = placed.filter(F.col("place") <= max_indexed)
+    telling = relevance(examples, totals.toxic, totals.n - totals.toxic)
+    vocab = sorted(telling.keys() | set(indexed_words(indexed)))
     sparse = materialize(vectors(docs, vocab), "toxicity-vectors")
     n_docs = sparse.count()
-    df = np.zeros(len(vocab))
-    for r in sparse.select(F.explode("features").alias("f")).groupBy("f").count().collect():  # a row for each of the vocabulary at most
-        df[r.f] = r["count"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    own = sparse.join(of, F.col("doc_id") == F.col("of")).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "features", "counts").orderBy("doc_id").limit(max_examples).collect()
-    rows = [(r.doc_id, r.toxic, r.features, r["counts"]) for r in own]
-    built = BlockMaxIndex(rows, idf)
-    built.calibrate(rows)
-    index = spark.sparkContext.broadcast((built, vocab))
+    df = frequencies(sparse, len(vocab))
+    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * np.array([telling.get(f, 1.0) for f in vocab])
+    few = placed.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(MAX_CALIBRATION).select("doc_id")
+    wanted = vectors(placed.join(F.broadcast(few.withColumnRenamed("doc_id", "few")), F.col("doc_id") == F.col("few"), "left").filter((F.col("place") <= max_indexed) | F.col("few").isNotNull()), vocab)
+    facts = {r.doc_id: (r.toxic, r.place) for r in placed.select("doc_id", "toxic", "place").collect()}  # max_examples at most
+    calibrating = {r.doc_id for r in few.collect()}
+    rows = [(r.doc_id, facts[r.doc_id][0], np.array(r.features, np.int64), np.array(r["counts"], np.int64)) for r in wanted.orderBy("doc_id").collect()]
+    built = BlockMaxIndex([r for r in rows if facts[r[0]][1] <= max_indexed], weight)
+    built.calibrate([r for r in rows if r[0] in calibrating])
+    return built, vocab, sparse
+
+
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_indexed: int = MAX_INDEXED) -> DataFrame:
+    """One row for each document: doc_id, score, evidence_ids (nearest examples), evidence (its strongest terms)."""
+    built, vocab, sparse = fit(docs, labels, max_examples, max_indexed)
+    index = docs.sparkSession.sparkContext.broadcast((built, vocab))
 
     def run(batches):
         found, names = index.value
         for batch in batches:
             scores, near, why = [], [], []
-            for ids, counts in zip(batch.column("features").to_pylist(), batch.column("counts").to_pylist()):
-                s, e = found.score(ids, counts)
+            cuts = batch.column("features").offsets.to_numpy() - batch.column("features").offsets[0].as_py()
+            features, counts = (batch.column(c).flatten().to_numpy() for c in ("features", "counts"))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                ids, n = features[a:b], counts[a:b]
+                s, e = found.score(ids, n)
                 scores.append(s)
                 near.append(e)
-                _, w = weigh(ids, counts, found.idf)
+                _, w = weigh(ids, n, found.weight)
                 why.append(",".join(names[ids[i]].rstrip("$") for i in np.argsort(-w, kind="stable")[:3]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(why, pa.string())], ["doc_id", "score", "evidence_ids", "evidence"])
 

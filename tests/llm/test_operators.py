@@ -55,7 +55,7 @@ def rows():
 def docs(spark, rows):
     """With extra columns whose names operators might use themselves."""
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for name in ("size", "score", "key", "id", "digest", "n", "component_id", "words", "part", "line", "ln"):
+    for name in ("size", "score", "key", "id", "digest", "n", "component_id", "words", "part", "line", "ln", "_of", "of", "_gone", "gone", "row", "first", "ask"):
         df = df.withColumn(name, F.lit("clash"))
     return df.cache()
 
@@ -127,6 +127,46 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_toxicity_is_the_vote_of_the_nearest(spark):
+    """Every text with words has neighbours, clean ones too, and its score is that of a brute-force search."""
+    import numpy as np
+
+    rng = random.Random(13)
+    texts = {}
+    for i in range(240):
+        ws = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words(rng.choice([5, 40, 200]), rng, 900)]
+        if i % 5 == 0:
+            ws[0] = rng.choice(["vileness", "scorning"])
+        texts[i] = " ".join(ws)
+    d = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(5, "another text"), (999, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in texts], "doc_id bigint, toxic int")
+    built, vocab, sparse = toxicity.fit(d, labels, max_indexed=60)
+    rows = {(r.doc_id, tuple(r.features)): r for r in sparse.collect()}
+    example = {}
+    for (doc, _), r in sorted(rows.items(), key=lambda x: x[0][0]):
+        ids, w = toxicity.weigh(r.features, r["counts"], built.weight)
+        text = "another text" if doc == 5 and len(ids) <= 2 else texts.get(doc)
+        if doc in built.ids and text == min(t for t in (texts[doc], "another text" if doc == 5 else texts[doc])):
+            example[doc] = dict(zip(ids.tolist(), w))
+    got = {}
+    for r in toxicity.score(d, labels, max_indexed=60).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for (doc, _), r in rows.items():
+        ids, w = toxicity.weigh(r.features, r["counts"], built.weight)
+        q = dict(zip(ids.tolist(), w))
+        near = sorted(((sum(v * e.get(f, 0.0) for f, v in q.items()), o) for o, e in example.items()), reverse=True)[: toxicity.NEAREST]
+        near = [(c, o) for c, o in near if c > 1e-12]
+        if not near:
+            assert doc == 999 or not r.features
+            continue
+        votes = np.array([c**4 for c, _ in near])
+        extra = 0.25 * votes.max() + 1e-9
+        p = (sum(v for v, (_, o) in zip(votes, near) if o % 5 == 0) + built.prior * extra) / (votes.sum() + extra)
+        odds = built.curve[0] * np.log(p / (1 - p)) + built.curve[1]
+        assert any(math.isclose(g.score, 1 / (1 + math.exp(-odds)), rel_tol=1e-6) for g in got[doc])
+        assert any(g.evidence_ids for g in got[doc]) and (doc == 5 or len(got[doc]) == 1)
+
+
 def test_block_max_index_is_exact():
     import numpy as np
 
@@ -372,6 +412,49 @@ def test_substring_fuzzy_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_chains_use_a_nearer_match():
+    """Two runs far apart are two chains, and the second is whole."""
+    first, second = [(i, i) for i in range(0, 120, 6)], [(270 + i, 270 + i) for i in range(0, 120, 6)]
+    assert sorted(map(len, substring_dedup.chains(first + second)), reverse=True)[:2] == [20, 20]
+
+
+def test_substring_words(spark):
+    """Words in runs of 51 words or more that an earlier document has are covered, whatever stands elsewhere before."""
+    rng = random.Random(21)
+    pool = [words(60, rng, 50_000) for _ in range(12)]
+    texts = ["The " * 90 + "end", "The " * 400]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.choice([0, 0, 10, 20])
+            parts += words(rng.randint(0, 30), rng, 50_000) + p[a : a + rng.choice([24, 30, 55, 60])]
+        texts.append(" ".join(parts))
+    texts += [" ".join(pool[0][:24]), " ".join(words(150, rng, 50_000))]
+    spread = words(150, rng, 50_000)
+    texts += [" ".join(pool[1] + spread + pool[2]), " ".join(pool[1] + words(150, rng, 50_000) + pool[2])]
+    found = substring_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    covered: dict[int, set] = {}
+    for r in found:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    seen, wanted, missed = {}, 0, 0
+    for d, t in enumerate(texts):
+        w = [x.lower() for x in t.split()]
+        runs = {tuple(w[i : i + 51]): i for i in range(len(w) - 50)}
+        at = {x for i in range(len(w) - 50) if tuple(w[i : i + 51]) in seen for x in range(i, i + 51)}
+        seen.update(dict.fromkeys(runs, d))
+        wanted += len(at)
+        missed += len(at - covered.get(d, set()))
+    assert wanted > 1500 and missed <= 0.01 * wanted
+
+
+def test_lm_counts_beyond_32_bits():
+    import numpy as np
+
+    counts = np.array([1, 1 << 33, 7], np.uint64)
+    assert lm_scoring.unpack_counts(lm_scoring.pack_counts(counts)).tolist() == counts.tolist()
+
+
 def test_chains_follow_the_order():
     matches = [(0, 100), (10, 110), (20, 50), (30, 130), (40, 141)]
     best = substring_dedup.chains(matches)[0]
