@@ -39,7 +39,7 @@ from docweave.llm.common import materialize, without_ids
 #: Labelled documents that tell relevance, at most; the choice is by a hash of doc_id.
 MAX_EXAMPLES = 20_000
 #: Examples of each label in the index, at most.
-MAX_INDEXED = 2_000
+MAX_INDEXED = 1_000
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Log-likelihood ratio from which on a feature goes with a label; chance reaches it once in ten thousand.
@@ -138,24 +138,25 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        index, known = {f: i for i, f in enumerate(shared.value)}, {}
-        used = {f.removesuffix("#2") for f in index if not f.endswith("$")}
-        again = {f.removesuffix("#2") for f in index if f.endswith("#2")}
+        # A feature's two numbers: its own, and that of its being there again; -1 for one that is no term.
+        numbers: dict[str, tuple[int, int]] = {}
+        for i, f in enumerate(shared.value):
+            base = f.removesuffix("#2")
+            one, two = numbers.get(base, (-1, -1))
+            numbers[base] = (one, i) if f != base else (i, two)
+        known: dict[str, tuple] = {}
         for batch in batches:
             ids, counts, cuts = [], [], [0]
             for text in batch.column("text").to_pylist():
-                own: dict[str, int] = {}
+                own: dict[tuple[int, int], int] = {}
                 for w, n in Counter(words(text)).items():
                     if (got := known.get(w)) is None:
-                        if len(known) > 100_000:
+                        if len(known) > 50_000:
                             known.clear()
-                        word = w + "$"
-                        got = known[w] = ((word,) if word in index else ()) + tuple(w[:k] for k in BEGINNINGS if w[:k] in used and len(w) >= k)
-                    for f in got:
-                        own[f] = own.get(f, 0) + n
-                pairs = [(index[f], n) for f, n in own.items() if f in index]
-                pairs += [(index[f + "#2"], n - 1) for f, n in own.items() if n > 1 and f in again]
-                pairs.sort()
+                        got = known[w] = tuple(x for f in features(w) if (x := numbers.get(f)))
+                    for x in got:
+                        own[x] = own.get(x, 0) + n
+                pairs = sorted([(one, n) for (one, _), n in own.items() if one >= 0] + [(two, n - 1) for (_, two), n in own.items() if n > 1 and two >= 0])
                 ids += [i for i, _ in pairs]
                 counts += [n for _, n in pairs]
                 cuts.append(len(ids))
@@ -242,7 +243,7 @@ class BlockMaxIndex:
             hit = np.flatnonzero(score > 0)
             return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[: k]]), score
 
-        first = order[: max(2, -(-k // BLOCK))]
+        first = order[:2]
         found, score = best(first)
         least = -found[k - 1][0] if len(found) >= k else 0.0
         rest = order[len(first) :]
@@ -314,7 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     wanted = vectors(placed.join(F.broadcast(few.withColumnRenamed("doc_id", "few")), F.col("doc_id") == F.col("few"), "left").filter((F.col("place") <= max_indexed) | F.col("few").isNotNull()), vocab)
     facts = {r.doc_id: (r.toxic, r.place) for r in placed.select("doc_id", "toxic", "place").collect()}  # max_examples at most
     calibrating = {r.doc_id for r in few.collect()}
-    rows = [(r.doc_id, facts[r.doc_id][0], np.array(r.features, np.int64), np.array(r["counts"], np.int64)) for r in wanted.orderBy("doc_id").collect()]
+    rows = []
+    for batch in wanted.orderBy("doc_id").toArrow().to_batches():  # of max_examples documents at most, without a Python object a number
+        cuts = batch.column("features").offsets.to_numpy() - batch.column("features").offsets[0].as_py()
+        features, counts = (batch.column(c).flatten().to_numpy() for c in ("features", "counts"))
+        rows += [(doc, facts[doc][0], features[x:y], counts[x:y]) for doc, x, y in zip(batch.column("doc_id").to_pylist(), cuts[:-1], cuts[1:])]
     built = BlockMaxIndex([r for r in rows if facts[r[0]][1] <= max_indexed], weight)
     built.calibrate([r for r in rows if r[0] in calibrating])
     return built, vocab, sparse
