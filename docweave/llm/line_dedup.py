@@ -11,8 +11,8 @@ first stays.
 
 Rarity is the count of a word's hash bucket over all documents; any fixed
 order gives the same result, and the table of buckets has a fixed size.  Before
-the join, each line is compared with the first line under each of its rarest
-words, so the lines of near copies have mostly gone.  Then only lines that
+the join, each line is compared with two lines under each of its rarest words
+and under words in long lists, so the lines of near copies have mostly gone.  Then only lines that
 still stay are compared with all earlier ones: a group of near copies makes few
 pairs, and no match of a line that stays is missed.
 
@@ -39,10 +39,12 @@ BUCKETS = 1 << 17
 STEPS = 4
 #: Rarest words of a line under which it is compared with the first line.
 HEAD_WORDS = 2
+#: Lines, and four times the mean, from which on a hash bucket's lists count as long.
+LONG_LIST = 200
 #: Words of 64 bits in the wider bitmaps, a power of two.
 SIFT = 4
 #: Size classes span so many factors of 100/percent.
-SIZES = 3
+SIZES = 4
 #: Ids of lines or documents that are broadcast, at most.
 MAX_BROADCAST = 300_000
 
@@ -170,15 +172,28 @@ def sizes_allow(percent: int, n: Column, m: Column) -> Column:
 
 
 def with_heads(rows: DataFrame, percent: int, name: str) -> DataFrame:
-    """(id, head): lines and the first lines under their rarest words; HEAD_WORDS rows a line at most."""
-    posted = rows.select("id", "n", "bits", "more", F.explode(F.slice("prefix", 1, HEAD_WORDS)).alias("word"))
-    lists = posted.groupBy("word").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1").select("word", "head")
-    met = posted.join(lists, "word").filter("head < id").select("id", "n", "bits", "more", "head").distinct()
+    """(id, head): lines, and two fixed members of the lists of their rarest words and of all words in long lists.
+
+    Lines of near copies mostly go by this.  Their rarest words may be those in which they differ, but the words
+    that they share make long lists.  Long lists are told by the number of lines in their hash bucket.
+    """
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    filled = rows.select(F.explode("prefix").alias("word")).groupBy(bucket).count()
+    least = LONG_LIST + 4 * (filled.agg(F.sum("count")).first()[0] or 0) // BUCKETS
+    long = F.broadcast(settled_buckets(filled, least, name))  # BUCKETS rows at most
+    posted = rows.select("id", "n", "bits", "more", F.posexplode("prefix").alias("pos", "word")).withColumn("in", bucket)
+    posted = posted.join(long, F.col("in") == F.col("long"), "left").filter((F.col("pos") < HEAD_WORDS) | F.col("long").isNotNull()).select("id", "n", "bits", "more", "word")
+    lists = posted.groupBy("word").agg(F.min("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2"), F.count("*").alias("members")).filter("members > 1")
+    met = posted.join(lists.select("word", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("head")), "word").filter("head < id").select("id", "n", "bits", "more", "head").distinct()
     heads = rows.select(F.col("id").alias("head"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("more").alias("a_more"))
     met = met.join(heads, "head").filter(sizes_allow(percent, F.col("n"), F.col("a_n")))
     return materialize(met.select("id", "head"), name)
 
 
+def settled_buckets(filled: DataFrame, least: int, name: str) -> DataFrame:
+    return materialize(filled.filter(F.col("count") > least).select(F.col("bucket").alias("long")), f"{name}-long")
+
+
 def candidates(marked: DataFrame, percent: int) -> DataFrame:
     """(id, head, differ): pairs that share a word within their prefixes, the later one open, and pass the filters."""
     posted = marked.select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("pos", "word"))

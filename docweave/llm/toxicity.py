@@ -41,7 +41,7 @@ MAX_EXAMPLES = 20_000
 #: Examples of each label in the index, at most.
 MAX_INDEXED = 1_000
 #: Lengths of word beginnings that are features.
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
+BEGINNINGS = (4, 6)
 #: Log-likelihood ratio from which on a feature goes with a label; chance reaches it once in ten thousand.
 RELEVANT = 16.0
 #: Examples in a block of the inverted index.
