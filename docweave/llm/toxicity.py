@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,13 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def pieces(batches, rows: int = 500):
+    """Batches in pieces of few rows, so that a worker never holds the Python objects of many texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sample(labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """At most ``limit`` (doc_id, toxic) of documents that are not held out, by a hash of doc_id."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -87,7 +95,7 @@ def presence(examples: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = Counter(), Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 own: Counter = Counter()
                 for w, n in Counter(words(text)).items():
@@ -125,7 +133,7 @@ def indexed_words(indexed: DataFrame) -> list[str]:
 
     def run(batches):
         own: set[str] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
                 own.update(words(text))
         yield pa.RecordBatch.from_arrays([pa.array([w + "$" for w in own], pa.string())], ["feature"])
@@ -133,34 +141,55 @@ def indexed_words(indexed: DataFrame) -> list[str]:
     return [r.feature for r in indexed.select("text").mapInArrow(run, "feature string").distinct().collect()]
 
 
+def terms(rows: np.ndarray, ns: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, once: np.ndarray, again: np.ndarray):
+    """(text, term, count), ordered, of a piece: ``sizes`` of its words belong to each text, ``rows`` to their features."""
+    lengths = np.diff(starts, append=len(flat))
+    n = lengths[rows]
+    ends = np.cumsum(n)
+    at = np.arange(int(n.sum())) + np.repeat(starts[rows] - (ends - n), n)
+    key = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * len(once) + flat[at]
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    total = np.add.reduceat(np.repeat(ns, n)[order], first) if len(first) else np.zeros(0, np.int64)
+    doc, feature = key // max(len(once), 1), key % max(len(once), 1)
+    there, more = once[feature] >= 0, (again[feature] >= 0) & (total > 1)
+    doc, term, count = (np.concatenate(x) for x in ((doc[there], doc[more]), (once[feature[there]], again[feature[more]]), (total[there], total[more] - 1)))
+    order = np.lexsort((term, doc))
+    return doc[order], term[order], count[order]
+
+
 def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
     """(doc_id, features, counts): each whole text's features in the vocabulary and how often they occur."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        # A feature's two numbers: its own, and that of its being there again; -1 for one that is no term.
-        numbers: dict[str, tuple[int, int]] = {}
+        # Of each feature, the term that it is and the term of its being there again; -1 for none.
+        base = {f: i for i, f in enumerate(dict.fromkeys(f.removesuffix("#2") for f in shared.value))}
+        once, again = np.full((2, len(base)), -1, np.int64)
         for i, f in enumerate(shared.value):
-            base = f.removesuffix("#2")
-            one, two = numbers.get(base, (-1, -1))
-            numbers[base] = (one, i) if f != base else (i, two)
-        known: dict[str, tuple] = {}
-        for batch in batches:
-            ids, counts, cuts = [], [], [0]
+            (again if f.endswith("#2") else once)[base[f.removesuffix("#2")]] = i
+        known: dict[str, int] = {}  # words to where their features are, -1 without one
+        starts, flat = array("q"), array("q")
+        for batch in pieces(batches):
+            if len(known) > 100_000:
+                known.clear()
+                starts, flat = array("q"), array("q")
+            rows, ns, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                own: dict[tuple[int, int], int] = {}
-                for w, n in Counter(words(text)).items():
-                    if (got := known.get(w)) is None:
-                        if len(known) > 50_000:
-                            known.clear()
-                        got = known[w] = tuple(x for f in features(w) if (x := numbers.get(f)))
-                    for x in got:
-                        own[x] = own.get(x, 0) + n
-                pairs = sorted([(one, n) for (one, _), n in own.items() if one >= 0] + [(two, n - 1) for (_, two), n in own.items() if n > 1 and two >= 0])
-                ids += [i for i, _ in pairs]
-                counts += [n for _, n in pairs]
-                cuts.append(len(ids))
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (ids, counts)]
+                own = Counter(words(text))
+                for w in [w for w in own if w not in known]:
+                    got = tuple(base[f] for f in features(w) if f in base)
+                    known[w] = len(starts) if got else -1
+                    if got:
+                        starts.append(len(flat))
+                        flat.extend(got)
+                found = [(r, n) for w, n in own.items() if (r := known[w]) >= 0]
+                rows += [r for r, _ in found]
+                ns += [n for _, n in found]
+                sizes.append(len(found))
+            doc, term, count = terms(np.array(rows, np.int64), np.array(ns, np.int64), np.array(sizes, np.int64), np.array(starts, np.int64), np.array(flat, np.int64), once, again)
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "features", "counts"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, features array<int>, counts array<int>")
@@ -241,15 +270,17 @@ class BlockMaxIndex:
             if without >= 0:
                 score[without] = 0
             hit = np.flatnonzero(score > 0)
-            return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[: k]]), score
+            return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[:k]])
 
         first = order[:2]
-        found, score = best(first)
+        found = best(first)
         least = -found[k - 1][0] if len(found) >= k else 0.0
         rest = order[len(first) :]
         rest = rest[(bounds[rest] > 0) & (bounds[rest] + 1e-6 >= least)]
-        if len(rest):
-            found = sorted([*found, *best(rest)[0]])[:k]
+        if len(rest) > self.blocks // 2:
+            found = best(order)
+        elif len(rest):
+            found = sorted([*found, *best(rest)])[:k]
         return [(-c, at) for c, at in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -296,12 +327,14 @@ class BlockMaxIndex:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_indexed: int = MAX_INDEXED) -> tuple[BlockMaxIndex, list[str], DataFrame]:
     """The index, its vocabulary, and the vectors of all documents."""
+    spark = docs.sparkSession
     chosen = materialize(sample(labels, max_examples), "toxicity-sample")
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     # At most max_examples ids are broadcast.
     of = F.broadcast(chosen.withColumnRenamed("doc_id", "of"))
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(of, F.col("doc_id") == F.col("of"))
-    examples = materialize(labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-examples")
+    examples = labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    examples = materialize(examples.repartition(max(2, spark.sparkContext.defaultParallelism * 2), "doc_id"), "toxicity-examples")
     by_hash = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))  # of at most max_examples rows
     placed = materialize(examples.select("doc_id", "text", "toxic", by_hash.alias("place")), "toxicity-placed")
     indexed = placed.filter(F.col("place") <= max_indexed)
@@ -332,7 +365,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
 
     def run(batches):
         found, names = index.value
-        for batch in batches:
+        for batch in pieces(batches):
             scores, near, why = [], [], []
             cuts = batch.column("features").offsets.to_numpy() - batch.column("features").offsets[0].as_py()
             features, counts = (batch.column(c).flatten().to_numpy() for c in ("features", "counts"))
