@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,18 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int)
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs that run inside hand long texts to Python in Arrow batches of few rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone`` (one column); columns of ``docs`` may have any names."""
     name = f"of_{uuid.uuid4().hex}"

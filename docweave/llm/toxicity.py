@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize, without_ids
+from docweave.llm.common import materialize, short_batches, without_ids
 
 #: Labelled documents that tell relevance, at most; the choice is by a hash of doc_id.
 MAX_EXAMPLES = 20_000
@@ -62,11 +62,13 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def pieces(batches, rows: int = 500):
+def pieces(batches, rows: int = 200):
     """Batches in pieces of few rows, so that a worker never holds the Python objects of many texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def sample(labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
@@ -104,7 +106,7 @@ def presence(examples: DataFrame) -> DataFrame:
                 to = counts[0 if toxic else 1]
                 to.update(own.keys())
                 to.update(repeated(f) for f, n in own.items() if n > 1)
-                if len(counts[0]) + len(counts[1]) > 200_000:
+                if len(counts[0]) + len(counts[1]) > 50_000:
                     yield flush(counts)
                     counts = Counter(), Counter()
         yield flush(counts)
@@ -171,7 +173,7 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
         known: dict[str, int] = {}  # words to where their features are, -1 without one
         starts, flat = array("q"), array("q")
         for batch in pieces(batches):
-            if len(known) > 100_000:
+            if len(known) > 40_000:
                 known.clear()
                 starts, flat = array("q"), array("q")
             rows, ns, sizes = [], [], []
@@ -360,7 +362,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
 def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_indexed: int = MAX_INDEXED) -> DataFrame:
     """One row for each document: doc_id, score, evidence_ids (nearest examples), evidence (its strongest terms)."""
-    built, vocab, sparse = fit(docs, labels, max_examples, max_indexed)
+    with short_batches(docs.sparkSession):
+        built, vocab, sparse = fit(docs, labels, max_examples, max_indexed)
     index = docs.sparkSession.sparkContext.broadcast((built, vocab))
 
     def run(batches):
