@@ -274,6 +274,8 @@ class BlockMaxIndex:
             hit = np.flatnonzero(score > 0)
             return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[:k]])
 
+        if 2 * bounds[order[-1]] > bounds[order[0]]:  # bounds as flat as these rule out next to nothing
+            return [(-c, at) for c, at in best(order)]
         first = order[:2]
         found = best(first)
         least = -found[k - 1][0] if len(found) >= k else 0.0
@@ -312,18 +314,20 @@ class BlockMaxIndex:
         if a > 0:
             self.curve = a, b
 
-    def score(self, ids, counts, k: int = NEAREST) -> tuple[float, list[int]]:
+    def score(self, ids, counts, k: int = NEAREST) -> tuple[float, list[int], list[int]]:
+        """The score, the three nearest examples, and the three strongest terms."""
         if not self.n:
-            return 0.5, []
+            return 0.5, [], []
         if not len(ids):
-            return self.bare, []
+            return self.bare, [], []
         key = (np.asarray(ids, np.int32).tobytes(), np.asarray(counts, np.int32).tobytes())
         if key not in self.cache:
             if len(self.cache) > 2_000:
                 self.cache.clear()
-            near = self.nearest(*weigh(ids, counts, self.weight), k)
+            own, w = weigh(ids, counts, self.weight)
+            near = self.nearest(own, w, k)
             odds = min(30.0, max(-30.0, self.curve[0] * self.vote(near) + self.curve[1])) if near else math.log(self.bare / (1 - self.bare)) if 0 < self.bare < 1 else 0.0
-            self.cache[key] = float(1 / (1 + np.exp(-odds))), [int(self.ids[at]) for _, at in near[:3]]
+            self.cache[key] = float(1 / (1 + np.exp(-odds))), [int(self.ids[at]) for _, at in near[:3]], own[np.argsort(-w, kind="stable")[:3]].tolist()
         return self.cache[key]
 
 
@@ -374,11 +378,10 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
             features, counts = (batch.column(c).flatten().to_numpy() for c in ("features", "counts"))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 ids, n = features[a:b], counts[a:b]
-                s, e = found.score(ids, n)
+                s, e, strongest = found.score(ids, n)
                 scores.append(s)
                 near.append(e)
-                _, w = weigh(ids, n, found.weight)
-                why.append(",".join(names[ids[i]].rstrip("$") for i in np.argsort(-w, kind="stable")[:3]))
+                why.append(",".join(names[i].rstrip("$") for i in strongest))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(why, pa.string())], ["doc_id", "score", "evidence_ids", "evidence"])
 
     return sparse.mapInArrow(run, "doc_id bigint, score double, evidence_ids array<bigint>, evidence string")
