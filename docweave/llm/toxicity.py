@@ -48,6 +48,8 @@ RELEVANT = 16.0
 #: Examples in a block of the inverted index.
 BLOCK = 128
 NEAREST = 15
+#: Words whose features a worker remembers; beyond it begins anew.
+KNOWN_WORDS = 150_000
 #: Examples that the calibration scores, at most.
 MAX_CALIBRATION = 3_000
 
@@ -55,7 +57,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[str]:
-    return [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+    found = [word + "$"]
+    for n in BEGINNINGS:
+        if len(word) >= n:
+            found.append(word[:n])
+    return found
 
 
 def words(text: str | None) -> list[str]:
@@ -168,28 +174,30 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
         # Of each feature, the term that it is and the term of its being there again; -1 for none.
         base = {f: i for i, f in enumerate(dict.fromkeys(f.removesuffix("#2") for f in shared.value))}
         once, again = np.full((2, len(base)), -1, np.int64)
+        none = np.zeros(0, np.int64)
         for i, f in enumerate(shared.value):
             (again if f.endswith("#2") else once)[base[f.removesuffix("#2")]] = i
         known: dict[str, int] = {}  # words to where their features are, -1 without one
         starts, flat = array("q"), array("q")
         for batch in pieces(batches):
-            if len(known) > 40_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
                 starts, flat = array("q"), array("q")
             rows, ns, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 own = Counter(words(text))
                 for w in [w for w in own if w not in known]:
-                    got = tuple(base[f] for f in features(w) if f in base)
+                    got = [base[f] for f in features(w) if f in base]
                     known[w] = len(starts) if got else -1
                     if got:
                         starts.append(len(flat))
                         flat.extend(got)
-                found = [(r, n) for w, n in own.items() if (r := known[w]) >= 0]
-                rows += [r for r, _ in found]
-                ns += [n for _, n in found]
-                sizes.append(len(found))
-            doc, term, count = terms(np.array(rows, np.int64), np.array(ns, np.int64), np.array(sizes, np.int64), np.array(starts, np.int64), np.array(flat, np.int64), once, again)
+                found = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                there = found >= 0
+                rows.append(found[there])
+                ns.append(np.fromiter(own.values(), np.int64, len(own))[there])
+                sizes.append(len(rows[-1]))
+            doc, term, count = terms(np.concatenate([none, *rows]), np.concatenate([none, *ns]), np.array(sizes, np.int64), np.array(starts, np.int64), np.array(flat, np.int64), once, again)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "features", "counts"])
@@ -253,12 +261,15 @@ class BlockMaxIndex:
 
     def scores(self, ids: np.ndarray, ws: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Cosines with all examples of ``blocks``; 0 elsewhere."""
-        cell = ids[:, None] * self.blocks + blocks[None, :]
-        low, n = self.starts[cell].ravel(), (self.starts[cell + 1] - self.starts[cell]).ravel()
+        if len(blocks) == self.blocks:  # a term's postings of all blocks are neighbours
+            low, n, own = self.starts[ids * self.blocks], self.starts[(ids + 1) * self.blocks] - self.starts[ids * self.blocks], ws
+        else:
+            cell = ids[:, None] * self.blocks + blocks[None, :]
+            low, n, own = self.starts[cell].ravel(), (self.starts[cell + 1] - self.starts[cell]).ravel(), np.repeat(ws, len(blocks))
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         postings = np.arange(total) + np.repeat(low - (ends - n), n)
-        return np.bincount(self.at[postings], np.repeat(np.repeat(ws, len(blocks)), n) * self.w[postings], len(self.ids))
+        return np.bincount(self.at[postings], np.repeat(own, n) * self.w[postings], len(self.ids))
 
     def nearest(self, ids, ws, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest, nearest first, ties by place; ``without`` leaves out one place."""
@@ -271,8 +282,10 @@ class BlockMaxIndex:
             score = np.round(self.scores(ids, ws, np.sort(blocks)), 12)
             if without >= 0:
                 score[without] = 0
-            hit = np.flatnonzero(score > 0)
-            return sorted((-float(score[h]), int(h)) for h in hit[np.argsort(-score[hit], kind="stable")[:k]])
+            least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            hit = hit[np.argsort(-score[hit], kind="stable")[:k]]
+            return list(zip((-score[hit]).tolist(), hit.tolist()))
 
         if 2 * bounds[order[-1]] > bounds[order[0]]:  # bounds as flat as these rule out next to nothing
             return [(-c, at) for c, at in best(order)]
@@ -281,7 +294,7 @@ class BlockMaxIndex:
         least = -found[k - 1][0] if len(found) >= k else 0.0
         rest = order[len(first) :]
         rest = rest[(bounds[rest] > 0) & (bounds[rest] + 1e-6 >= least)]
-        if len(rest) > self.blocks // 2:
+        if len(rest) > self.blocks // 4:  # one pass over all blocks costs less than these one by one
             found = best(order)
         elif len(rest):
             found = sorted([*found, *best(rest)])[:k]
