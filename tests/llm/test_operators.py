@@ -395,6 +395,26 @@ def test_substring_partners_in_parts(spark):
     assert {(d, d - 1) for d in want} <= got
 
 
+def test_substring_links_between_pieces(spark):
+    """Pieces of a passage before and after its first document hide neither a changed copy nor any pair of copies."""
+    rng = random.Random(9)
+    texts, want = [], set()
+    add = lambda p: texts.append(" ".join(words(40, rng, 20_000) + p + words(40, rng, 20_000))) or len(texts) - 1
+    for _ in range(15):
+        passage = words(66, rng, 20_000)
+        pieces = [passage[i : i + 22] for i in (0, 22, 44)]
+        changed = [f"other{i}" if i in (21, 22, 43, 44) else w for i, w in enumerate(passage)]
+        holders = []
+        for p in (*pieces, passage, *pieces, changed, *pieces, passage):
+            at = add(p)
+            if len(p) == 66:
+                holders.append(at)
+        want |= {(b, a) for a in holders for b in holders if a < b}
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {(r.doc_id, r.other_id) for r in substring_dedup.passages(data).collect()} == want
+    assert {(r.doc_id, r.other_id) for r in substring_dedup.passages(data, most=None).collect()} == want
+
+
 def test_substring_fuzzy_recall(spark):
     """Passages with words exchanged at random, at identities down to 0.8."""
     rng = random.Random(8)
