@@ -154,3 +154,26 @@ def test_stream(spark, tmp_path):
 
 def test_self_check(spark):
     assert process.self_check(spark)["status"] == "ok" and "html" in process.capabilities()["parsed_here"]
+
+
+def test_settled_drops_its_shuffle_files(spark):
+    """Tables on the way are in the shared folder; what their making has shuffled does not stay beside them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from docweave.sources.scratch import settled
+
+    def files():
+        seq = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in seq.split("\n") if "shuffle_" in f and f.endswith(".data")}
+
+    before = files()
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    got = settled(df, "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert got.count() == 10 and df.count() == 10
