@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docweave.llm.common import begins, keeps
+
 #: Pieces in each of the two generations that a Python worker remembers; the older one goes when the younger is full.
 MEMORY = 400_000
 #: Pieces in one recursive query.
@@ -53,7 +55,7 @@ FROM step JOIN fixpoint USING (word, round) JOIN vocab USING (token) GROUP BY wo
 
 
 class Codec:
-    """Encodes and decodes with one rank file; lives as long as its Python worker."""
+    """Encodes and decodes with one rank file; lives in its Python worker until another operator begins there."""
 
     def __init__(self, path: str, pattern: str, memory: int | None = None):
         import duckdb
@@ -150,10 +152,15 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str, memory: int | None = None) -> Codec:
+def _codec(path: str, pattern: str, memory: int | None = None) -> Codec:
     return Codec(path, pattern, memory)
 
 
+def codec(path: str, pattern: str, memory: int | None = None) -> Codec:
+    keeps("bpe", _codec.cache_clear)
+    return _codec(path, pattern, memory)
+
+
 def rounds(texts: list[str]):
     """Slices of ``texts`` of about ROUND characters, or one text."""
     at = size = 0
@@ -174,6 +181,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, memory: int | None =
     """
 
     def run(batches):
+        begins("bpe")
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for some, at in rounds(texts):
@@ -190,6 +198,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows (doc_id, ids) to (doc_id, decoded): the tokens' bytes in the ids' order; null ids count as none."""
 
     def run(batches):
+        begins("bpe")
         for batch in batches:
             c = codec(path, pattern)
             ids = batch.column("ids").to_pylist()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import join_checked, materialize, mix64, text_blocks, without_ids, word_hashes
+from docweave.llm.common import begins, join_checked, materialize, mix64, text_blocks, without_ids, word_hashes
 from docweave.llm.components import components
 
 SHINGLE = 5
@@ -99,6 +99,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES) ->
     """(doc_id, n_shingles, fp, signature): ``fp`` names the set, null for an empty one."""
 
     def run(batches):
+        begins("minhash")
         for batch in batches:
             n, fps, sigs = [], [], []
             for s in shingle_sets(batch.column("text"), k):
@@ -200,6 +201,7 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, coordi
     fetched = join_checked(docs, of_class.select(F.col("id").alias("of")), F.col("doc_id") == F.col("of"), "left_semi", MAX_BROADCAST)
 
     def run(batches):
+        begins("minhash")
         for batch in batches:
             sets = list(shingled(batch.column("text"), k))
             fine = [fine_sketch(s).view(np.int64) for s in sets]

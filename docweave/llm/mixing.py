@@ -101,14 +101,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     is taken in part has its first words only.  Documents without words carry
     nothing to the mixture and are not in it.
     """
-    plan = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), keep=("row", "text"), **options)
+    plan = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), keep=("row",), **options)  # has the text once
     whole, part = F.expr("taken div size"), F.expr("taken % size")
     copies = F.concat(
         F.array_repeat(F.lit(0).cast("bigint"), whole.cast("int")),
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
     rows = plan.filter("taken > 0").withColumn("part", F.explode(copies))
-    text = F.when(F.col("part") > 0, first_words(F.col("text"), F.col("part"))).otherwise(F.col("text"))
+    text = F.when(F.col("part") > 0, first_words(F.col("row.text"), F.col("part"))).otherwise(F.col("row.text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize, short_batches, without_ids
+from docweave.llm.common import begins, materialize, short_batches, without_ids
 
 #: Labelled documents that tell relevance, at most; the choice is by a hash of doc_id.
 MAX_EXAMPLES = 20_000
@@ -102,6 +102,7 @@ def presence(examples: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["feature", "a", "b"])
 
     def run(batches):
+        begins("toxicity")
         counts = Counter(), Counter()
         for batch in pieces(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -140,6 +141,7 @@ def indexed_words(indexed: DataFrame) -> list[str]:
     """All words of the indexed examples, as features."""
 
     def run(batches):
+        begins("toxicity")
         own: set[str] = set()
         for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
@@ -171,6 +173,7 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
+        begins("toxicity")
         # Of each feature, the term that it is and the term of its being there again; -1 for none.
         base = {f: i for i, f in enumerate(dict.fromkeys(f.removesuffix("#2") for f in shared.value))}
         once, again = np.full((2, len(base)), -1, np.int64)
@@ -209,6 +212,7 @@ def frequencies(sparse: DataFrame, n: int) -> np.ndarray:
     """In how many documents each of ``n`` features occurs; a task adds up its own before any row leaves it."""
 
     def run(batches):
+        begins("toxicity")
         total = np.zeros(n, np.int64)
         for batch in batches:
             total += np.bincount(batch.column("features").flatten().to_numpy(), minlength=n)
@@ -384,6 +388,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     index = docs.sparkSession.sparkContext.broadcast((built, vocab))
 
     def run(batches):
+        begins("toxicity")
         found, names = index.value
         for batch in pieces(batches):
             scores, near, why = [], [], []

@@ -83,3 +83,20 @@ def test_sql(spark):
         want = con.execute(e.oracle_sql()[name]).df()
         key = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
         assert key(got.select(sorted(got.columns)).toPandas()) == key(want)
+
+
+def test_kept_memory(spark, folder):
+    """What a worker keeps for one operator is freed when another begins there; the mixture's plan has each text once."""
+    import public_tokenizers
+
+    from docweave.llm import bpe
+    from docweave.llm.common import begins
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    first = bpe.codec(path, public_tokenizers.PATTERN, 1000)
+    begins("bpe")
+    assert bpe.codec(path, public_tokenizers.PATTERN, 1000) is first
+    begins("toxicity")
+    assert bpe.codec(path, public_tokenizers.PATTERN, 1000) is not first
+    plan = mixing.mix_documents(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_kept_0" in plan and "_kept_1" not in plan
