@@ -66,12 +66,30 @@ def rarity(docs: DataFrame) -> list[int]:
     return table
 
 
-def ranked(line: Column, table: list[int]) -> Column:
-    """The line's distinct words as numbers, the rarest first: rarity in the high bits, a 51-bit hash below."""
+def middle(table: list[int]) -> int:
+    """The least number of a word of medium rarity: about half of all words are rarer."""
+    mass = [0.0] * 128
+    for level in filter(None, table):  # empty buckets and words that occur once are both of level 0
+        mass[level] += 2 ** (level / STEPS)
+    below = 0.0
+    for level, m in enumerate(mass):
+        below += m
+        if 2 * below >= sum(mass):
+            return level << 51
+    return 0
+
+
+def numbers(line: Column, table: list[int]) -> Column:
+    """The line's distinct words as numbers: rarity in the high bits, a 51-bit hash below."""
     levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to one literal
     hashes = F.array_remove(F.array_distinct(F.transform(tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 51).bitwiseOR(F.shiftrightunsigned(h, 13))))
+    return F.transform(hashes, lambda h: F.shiftleft(level(h), 51).bitwiseOR(F.shiftrightunsigned(h, 13)))
+
+
+def ranked(line: Column, table: list[int]) -> Column:
+    """The line's words as numbers, the rarest first."""
+    return F.sort_array(numbers(line, table))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -106,14 +124,10 @@ class LineIds:
         return [F.when(doc != F.lit(-(1 << (62 - self.shift))), doc).alias("doc_id"), ln.alias("ln")]
 
 
-def parity(words: str) -> list[Column]:
-    """128 bits, of which each word flips one; so sets differ in as many words as their bits at least."""
-
-    def half(which):
-        one = lambda x: F.shiftright(which(x), 6).bitwiseAND(F.lit(1).cast("bigint"))
-        return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    return [half(lambda x: x).alias("bits"), half(F.bitwise_not).alias("more")]
+def parity(words: Column) -> Column:
+    """64 bits, of which each word flips one; so sets differ in as many words as their bits at least."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def bits_differ() -> Column:
@@ -125,22 +139,28 @@ def similar_lines(docs: DataFrame, percent: int = 80, folder: str | None = None)
     folder = folder or scratch("lines")
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     table = rarity(docs)
-    n = F.size("words")
+    # A mark among the sorted words parts rarer from more frequent ones, which flip bits of their own.
     # Blank lines are left out only when the lines are read again: a filter here would rank all words twice.
-    lines = lines_of(docs).withColumn("words", ranked(F.col("line"), table))
-    short = F.transform(F.slice("words", F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    lines = lines.select("doc_id", "ln", F.xxhash64("words").alias("f1"), F.xxhash64("words", F.lit(1)).alias("f2"), n.alias("n"), *parity("words"), short.alias("prefix"))
-    lines = materialize(lines, f"{folder}/lines").filter("n > 0")
+    mark = F.lit(middle(table)).cast("bigint")
+    lines = lines_of(docs).withColumn("marked", F.sort_array(F.concat(numbers(F.col("line"), table), F.array(mark)))).withColumn("cut", F.array_position("marked", mark).cast("int"))
+    n = F.size("marked") - 1
+    rarer, rest = F.slice("marked", F.lit(1), F.col("cut") - 1), F.slice("marked", F.col("cut") + 1, n + 1)
+    short = F.transform(F.slice(F.concat(rarer, rest), F.lit(1), n - part(n, percent) + 1), lambda x: x.bitwiseXOR(F.shiftright(x, 23)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    lines = lines.select("doc_id", "ln", F.xxhash64("marked").alias("f1"), F.xxhash64("marked", F.lit(1)).alias("f2"), n.alias("n"), parity(rarer).alias("bits"), parity(rest).alias("more"), short.alias("prefix"))
+    lines = materialize(lines, f"{folder}/lines/all").filter("n > 0")
     ids = LineIds.of(lines)
     lines = lines.withColumn("id", ids.pack())
     classes = lines.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "bits", "more", "prefix")).alias("m"), F.count("*").alias("copies")).select("m.*", "f1", "f2", "copies")
     classes = materialize(classes, f"{folder}/classes")
     repeated = classes.filter("copies > 1").select(F.col("id").alias("first"), "f1", "f2")
     copies = join_checked(lines.select("id", "f1", "f2"), repeated, ["f1", "f2"], "inner", MAX_BROADCAST).filter("id <> first").select("id")
+    copies = materialize(copies, f"{folder}/copies")
+    discard(docs.sparkSession, f"{folder}/lines")
 
     differing = classes.filter(n_can_differ(F.col("n"), percent)).select("id", "n", "bits", "more", "prefix")
     near = with_heads(differing, percent, f"{folder}/head-pairs")
     gone = verify(near, sets_of(near, docs, ids, table, f"{folder}/heads"), percent, f"{folder}/found-heads")
+    discard(docs.sparkSession, f"{folder}/heads")
     marked = join_checked(differing, gone.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left", MAX_BROADCAST).withColumn("open", F.col("of").isNull().cast("int")).drop("of")
     pairs = materialize(candidates(marked, percent), f"{folder}/pairs")
     words_of = sets_of(pairs, docs, ids, table, f"{folder}/pairs")
@@ -237,8 +257,7 @@ def sets_of(pairs: DataFrame, docs: DataFrame, ids: LineIds, table: list[int], f
 
 def flips(words: str, k: int) -> Column:
     """The k-th 64 of the 64 * SIFT bits that the words flip."""
-    own = F.filter(words, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SIFT - 1)) == k)
-    return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return parity(F.filter(words, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SIFT - 1)) == k))
 
 
 def verify(pairs: DataFrame, words_of: DataFrame, percent: int, name: str) -> DataFrame:

@@ -367,6 +367,35 @@ def test_line_dedup(spark, docs, rows):
     assert {r.doc_id: r.text for r in out.collect()} == want
 
 
+def test_line_dedup_tables(spark, docs, monkeypatch):
+    """The tables of all lines and of the first members' words are dropped before the join, which takes most of the disk."""
+    from pathlib import Path
+
+    from docweave.llm.common import scratch
+    from docweave.sources.scratch import shared_dir
+
+    folder, left, join = scratch("lines"), [], line_dedup.candidates
+    at = Path(shared_dir(spark).removeprefix("file://"), "docweave", folder)
+    monkeypatch.setattr(line_dedup, "candidates", lambda *a: left.extend(p.name for p in at.iterdir()) or join(*a))
+    assert line_dedup.similar_lines(docs, folder=folder).count()
+    assert any(x.startswith("classes") for x in left) and not {"lines", "heads"} & {x.split("-")[0] for x in left if not x.startswith("head-")}
+
+
+def test_line_dedup_bits(spark):
+    """Lines differ in as many words as their bits at least, wherever the mark between rarer and other words falls."""
+    rng = random.Random(10)
+    lines = [" ".join(words(rng.choice([1, 5, 30, 90]), rng, 200)) for _ in range(40)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    table = line_dedup.rarity(df.withColumnRenamed("line", "text"))
+    assert 0 < line_dedup.middle(table) >> 51 < 128 and line_dedup.middle([0] * line_dedup.BUCKETS) == 0
+    ranks = df.select("line", line_dedup.ranked(F.col("line"), table).alias("w"))
+    rows = ranks.select("w", line_dedup.parity(F.filter("w", lambda x: x < line_dedup.middle(table))).alias("bits"), line_dedup.parity(F.filter("w", lambda x: x >= line_dedup.middle(table))).alias("more")).collect()
+    for a in rows:
+        for b in rows:
+            differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in ((a.bits, b.bits), (a.more, b.more)))
+            assert differ <= len(set(a.w) ^ set(b.w))
+
+
 def test_substring_dedup(spark, docs, rows):
     got = substring_dedup.passages(docs).collect()
     texts = {r[0]: grams(r[1]) for r in rows}
